@@ -14,7 +14,7 @@ def timestamp_lit(value: dt.datetime | str) -> Column:
 
 
 def plus_seconds(ts: Column, seconds: Column) -> Column:
-    return ts + F.make_dt_interval(secs=seconds)
+    return F.timestamp_add("SECOND", seconds, ts)
 
 
 def epoch_micros(ts: Column) -> Column:
