@@ -64,9 +64,10 @@ def categorize_history_event(event_type: Column) -> Column:
 def estimated_delay(event_type: Column, data: Column, default_by_type: Mapping[str, int] | None = None) -> Column:
     """Delay named in the payload, else a value by event type, else 0."""
     named = extract_delay_minutes(data)
+    if not default_by_type:
+        return named
     given = F.try_variant_get(F.try_parse_json(data), "$.delayMinutes", "variant").isNotNull()
-    default = F.coalesce(_lookup(default_by_type, event_type), F.lit(0)) if default_by_type else F.lit(0)
-    return F.when(given, named).otherwise(default)
+    return F.when(given, named).otherwise(F.coalesce(_lookup(default_by_type, event_type), F.lit(0)))
 
 
 def risk_score(delay_minutes: Column) -> Column:

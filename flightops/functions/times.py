@@ -17,8 +17,12 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
     return F.timestamp_add("SECOND", seconds, ts)
 
 
+def micros(ts: str) -> str:
+    """SQL text: microseconds since 1970; needs the UTC session zone for zone-less input."""
+    return f"unix_micros(cast({ts} as timestamp))"
+
+
 def epoch_micros(ts: Column) -> Column:
-    """Microseconds since 1970; needs the UTC session zone for zone-less input."""
     return F.unix_micros(ts.cast("timestamp"))
 
 

@@ -47,17 +47,23 @@ def transitions_by_state(transitions: DataFrame, state: str) -> DataFrame:
     return transitions.filter(F.col("to_state") == state)
 
 
-def audit_trail(history: DataFrame, key: str | None = None, zone: str = "UTC") -> DataFrame:
-    """History events made readable, of one key or of all, in event order."""
+def audit_trail(
+    history: DataFrame, key: str | None = None, zone: str = "UTC", ordered: bool = True
+) -> DataFrame:
+    """History events made readable, of one key or of all, in event order.
+
+    `ordered=False` leaves out the sort, for rows that are aggregated further.
+    """
     rows = history if key is None else history.filter(F.col("flight_key") == key)
-    return rows.select(
+    trail = rows.select(
         "flight_key",
         "event_id",
         "event_type",
         format_event_time(F.col("event_ts"), zone).alias("timestamp"),
         describe_history_event(F.col("event_type"), F.col("signal_name")).alias("description"),
         categorize_history_event(F.col("event_type")).alias("category"),
-    ).orderBy("flight_key", "event_id")
+    )
+    return trail.orderBy("flight_key", "event_id") if ordered else trail
 
 
 def build_history(transitions: DataFrame, accepted: DataFrame, execution: DataFrame | None = None) -> DataFrame:

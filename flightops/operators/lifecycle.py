@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flightops.functions.describe import transition_details
 from flightops.functions.keys import state_ordinal
-from flightops.functions.times import epoch_micros, plus_seconds, timestamp_lit
+from flightops.functions.times import micros, timestamp_lit
 from flightops.operators.ordered import with_running_last
 from flightops.schemas import CANCEL, CANCEL_BOUNDARIES, DEFAULT_DELAY, DELAY, GATE, PHASES, STATES
 
@@ -22,25 +22,20 @@ SLOTS = range(PHASES + 1)
 PLANNED = STATES[: PHASES + 1]
 
 
-def _elapsed(phases: int) -> Column:
-    """Seconds from the start to the end of the first `phases` phases."""
-    return sum((F.element_at("phase_seconds", p + 1) for p in range(phases)), F.lit(0))
+def _elapsed(phases: int) -> str:
+    """SQL text: seconds from the start to the end of the first `phases` phases."""
+    return " + ".join(["0", *[f"element_at(phase_seconds, {p})" for p in range(1, phases + 1)]])
 
 
-def _entry_times() -> list[Column]:
-    """Planned entry time of each state, from `start_ts` and `phase_seconds`."""
-    return [F.col("start_ts"), *[plus_seconds(F.col("start_ts"), _elapsed(i)) for i in SLOTS[1:]]]
+# SQL texts of the planned entry time of each state.
+_ENTRY_TIMES = ["start_ts", *[f"timestampadd(SECOND, {_elapsed(i)}, start_ts)" for i in SLOTS[1:]]]
+_STATE_LIST = "array(" + ", ".join(f"'{state}'" for state in PLANNED) + ")"
 
 
 def phase_timeline(flights: DataFrame) -> DataFrame:
     """Planned entry into each of the six states, one row each."""
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("ordinal"), F.lit(state).alias("state"), time.alias("entered_at"))
-            for i, (state, time) in enumerate(zip(PLANNED, _entry_times(), strict=True))
-        ]
-    )
-    return flights.select("flight_key", F.inline(rows))
+    rows = ", ".join(f"named_struct('ordinal', {i}, 'state', '{PLANNED[i]}', 'entered_at', {_ENTRY_TIMES[i]})" for i in SLOTS)
+    return flights.selectExpr("flight_key", f"inline(array({rows})) as (ordinal, state, entered_at)")
 
 
 def total_duration(flights: DataFrame) -> DataFrame:
@@ -51,10 +46,10 @@ def total_duration(flights: DataFrame) -> DataFrame:
 def _slotted(flights: DataFrame, signals: DataFrame) -> DataFrame:
     """Signals inside their flight's planned span with their slot. One row per signal at most."""
     joined = signals.join(flights.select("flight_key", "start_ts", "phase_seconds"), "flight_key")
-    offset = epoch_micros(F.col("event_ts")) - epoch_micros(F.col("start_ts"))
-    ends = [_elapsed(i).cast("bigint") * F.lit(1_000_000) for i in SLOTS]
-    passed = sum(((offset > end).cast("int") for end in ends[1:PHASES]), (offset > 0).cast("int"))
-    return joined.filter(offset.between(F.lit(0), ends[PHASES])).withColumn("slot", passed)
+    offset = f"({micros('event_ts')} - {micros('start_ts')})"
+    ends = [f"1000000L * ({_elapsed(i)})" for i in SLOTS]
+    passed = " + ".join(f"cast({offset} > {end} as int)" for end in ends[:PHASES])
+    return joined.filter(f"{offset} between 0 and {ends[PHASES]}").withColumn("slot", F.expr(passed))
 
 
 def _cancel_slot() -> Column:
@@ -75,8 +70,8 @@ def effective_cancellations(flights: DataFrame, signals: DataFrame) -> DataFrame
     return bounded.select(
         "flight_key",
         "cancel_ts",
-        F.get(F.array(*_entry_times()), F.col("cancel_slot")).alias("effective_ts"),
-        F.get(F.array(*[F.lit(s) for s in PLANNED]), F.col("cancel_slot") - 1).alias("from_state"),
+        F.expr(f"get(array({', '.join(_ENTRY_TIMES)}), cancel_slot) as effective_ts"),
+        F.expr(f"get({_STATE_LIST}, cancel_slot - 1) as from_state"),
     )
 
 
@@ -107,22 +102,22 @@ def fold_flights(flights: DataFrame, signals: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("slot") == i, F.col("g"))).alias(f"_g{i}") for i in SLOTS],
     )
 
-    def in_force(name: str) -> Column:
+    def in_force(name: str) -> str:
         """Latest value at each entry: that of the own slot, else of the slot before, …"""
-        return F.array(*[F.coalesce(*[F.col(f"{name}{j}") for j in range(i, -1, -1)]) for i in SLOTS])
+        latest = (", ".join(f"{name}{j}" for j in range(i, -1, -1)) for i in SLOTS)
+        return "array(" + ", ".join(f"coalesce({values})" for values in latest) + ")"
 
-    end_slot = F.coalesce("cancel_slot", F.lit(PHASES))
     return (
         flights.join(per_flight, "flight_key", "left")
-        .select(
-            *[F.col(c) for c in flights.columns],
+        .selectExpr(
+            *flights.columns,
             "cancel_slot",
-            end_slot.alias("end_slot"),
-            F.array(*_entry_times()).alias("entered"),
-            in_force("_g").alias("gates"),
-            in_force("_d").alias("delays"),
+            f"coalesce(cancel_slot, {PHASES}) as end_slot",
+            f"array({', '.join(_ENTRY_TIMES)}) as entered",
+            f"{in_force('_g')} as gates",
+            f"{in_force('_d')} as delays",
         )
-        .withColumn("end_ts", F.get("entered", F.col("end_slot")))
+        .selectExpr("*", "get(entered, end_slot) as end_ts")
     )
 
 
@@ -130,41 +125,34 @@ def flights_with_end(flights: DataFrame, signals: DataFrame) -> DataFrame:
     """`flights` plus `end_ts`. Only cancellations can move the end, so only they are joined."""
     cancels = signals.filter(F.col("signal") == CANCEL)
     slots = _slotted(flights, cancels).groupBy("flight_key").agg(F.min(_cancel_slot()).alias("cancel_slot"))
-    end = F.get(F.array(*_entry_times()), F.coalesce("cancel_slot", F.lit(PHASES)))
-    return flights.join(slots, "flight_key", "left").select(*[F.col(c) for c in flights.columns], end.alias("end_ts"))
+    end = f"get(array({', '.join(_ENTRY_TIMES)}), coalesce(cancel_slot, {PHASES})) as end_ts"
+    return flights.join(slots, "flight_key", "left").selectExpr(*flights.columns, end)
 
 
 def transitions_of_fold(folded: DataFrame) -> DataFrame:
     """History rows of folded flights: the planned entries up to the end, CANCELLED if cut short."""
-    rows = []
-    for i, state in enumerate(PLANNED):
-        cut = F.col("cancel_slot") == i
-        rows.append(
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(PLANNED[i - 1] if i else None).cast("string").alias("from_state"),
-                F.when(cut, "CANCELLED").otherwise(state).alias("to_state"),
-                F.col("entered")[i].alias("timestamp"),
-                F.coalesce(F.col("gates")[i], "gate", F.lit("")).alias("gate"),
-                F.coalesce(F.col("delays")[i], F.lit(DEFAULT_DELAY)).alias("delay"),
-            )
-        )
-    happened = F.slice(F.array(*rows), F.lit(1), F.col("end_slot") + 1)
-    return folded.select(
-        "flight_key", "flight_number", "flight_date", "aircraft", F.explode(happened).alias("t")
-    ).select(
-        F.concat_ws(":", "flight_key", "t.to_state").alias("id"),
+    rows = ", ".join(
+        f"""named_struct(
+            'from_state', {f"'{PLANNED[i - 1]}'" if i else "cast(null as string)"},
+            'to_state', if(cancel_slot = {i}, 'CANCELLED', '{PLANNED[i]}'),
+            'timestamp', entered[{i}], 'gate', coalesce(gates[{i}], gate, ''),
+            'delay', coalesce(delays[{i}], {DEFAULT_DELAY}))"""
+        for i in SLOTS
+    )
+    happened = f"inline(slice(array({rows}), 1, end_slot + 1)) as (from_state, to_state, timestamp, gate, delay)"
+    return folded.selectExpr("flight_key", "flight_number", "flight_date", "aircraft", happened).select(
+        F.concat_ws(":", "flight_key", "to_state").alias("id"),
         "flight_key",
         "flight_number",
         "flight_date",
-        "t.from_state",
-        "t.to_state",
-        "t.timestamp",
-        "t.gate",
-        "t.delay",
+        "from_state",
+        "to_state",
+        "timestamp",
+        "gate",
+        "delay",
         "aircraft",
         F.lit("STATE_TRANSITION").alias("event_type"),
-        transition_details(F.col("t.from_state"), F.col("t.to_state")).alias("event_details"),
+        transition_details(F.col("from_state"), F.col("to_state")).alias("event_details"),
     )
 
 
@@ -185,10 +173,10 @@ def flight_details(flights: DataFrame, signals: DataFrame, as_of) -> DataFrame:
     """Every flight as seen at `as_of`: state (null before the start), last delay, last gate."""
     at = timestamp_lit(as_of)
     folded = fold_flights(flights, signals.filter(F.col("event_ts") <= at))
-    entered = sum((F.col("entered")[i] <= at).cast("int") for i in SLOTS)
+    entered = F.size(F.filter("entered", lambda time: time <= at))
     reached = F.least(entered - 1, F.col("end_slot"))
     state = F.when(reached == F.col("cancel_slot"), "CANCELLED").otherwise(
-        F.get(F.array(*[F.lit(s) for s in PLANNED]), F.when(reached >= 0, reached))
+        F.get(F.expr(_STATE_LIST), F.when(reached >= 0, reached))
     )
     return folded.select(
         "flight_key",

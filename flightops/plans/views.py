@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.functions.keys import flight_key
 from flightops.operators.ordered import with_row_number
 from flightops.operators.signals import events_to_signals
 from flightops.schemas import HISTORY_DESCRIPTIONS, SIGNALED_TYPE
@@ -30,94 +29,74 @@ SIGNAL_NAMES = ("announceDelay", "changeGate", "cancelFlight")
 # --------------------------------------------------------------------------------------------
 
 
-def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
+# SQL texts over a source row: day, days since the first, number and key of its flight.
+DAY = "to_date(ts)"
+DAY_NUMBER = f"datediff({DAY}, DATE'{FIRST_DAY}')"
+NUMBER = "concat('FL', user_id)"
+KEY = f"concat('flight-FL', user_id, '-', cast({DAY} as string))"
+K = r"""cast(regexp_extract(props, '"k"\\s*:\\s*([0-9]+)', 1) as int)"""
 
-def _number(user: Column) -> Column:
-    return F.concat(F.lit("FL"), user.cast("string"))
 
+def _list(values: tuple[str, ...]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
-def _day_number(date: Column) -> Column:
-    return F.datediff(date, F.lit(FIRST_DAY).cast("date"))
 
+def _pick(values: tuple[str, ...], index: str) -> str:
+    return f"get({_list(values)}, cast({index} as int))"
 
-def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
-
-
-def _dated(events: DataFrame) -> DataFrame:
-    date = F.to_date("ts")
-    return events.withColumns(
-        {
-            "d": date,
-            "dn": _day_number(date),
-            "flight_key": flight_key(_number(F.col("user_id")), date),
-        }
-    )
 
-
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flight per user and day. Grouped by the flight key itself, so that joins on the key
     reuse the partitioning."""
-    dated = _dated(source_events(spark, sf_dir)).filter(
-        F.col("flight_key").isNotNull() & ((F.col("user_id") + F.col("dn")) % 11 != 0)
+    flown = source_events(spark, sf_dir).filter(f"{KEY} is not null and (user_id + {DAY_NUMBER}) % 11 <> 0")
+    keyed = (
+        flown.selectExpr(f"{KEY} as flight_key", "user_id", f"{DAY} as d")
+        .groupBy("flight_key")
+        .agg(F.expr("min(user_id) as u"), F.expr("min(d) as flight_date"))
     )
-    keyed = dated.groupBy("flight_key").agg(F.min("user_id").alias("u"), F.min("d").alias("flight_date"))
-    u, dn = F.col("u"), _day_number(F.col("flight_date"))
-    midnight = F.col("flight_date").cast("timestamp_ntz")
-    departure_hour = F.lit(3) + u % 6
-    hours = F.make_dt_interval
-    return keyed.select(
+    dn = f"datediff(flight_date, DATE'{FIRST_DAY}')"
+    midnight = "cast(flight_date as timestamp_ntz)"
+    phases = ", ".join(f"cast(60 * (120 + (u * 7 + {dn} * 13 + {p} * 31) % 181) as int)" for p in range(5))
+    return keyed.selectExpr(
         "flight_key",
-        _number(u).alias("flight_number"),
+        "concat('FL', u) as flight_number",
         "flight_date",
-        _pick(DEPARTURES, u % 10).alias("departure_station"),
-        _pick(ARRIVALS, (u + dn) % 10).alias("arrival_station"),
-        (midnight + hours(hours=departure_hour.cast("int"))).alias("scheduled_departure"),
-        (midnight + hours(hours=(departure_hour + 2 + u % 4).cast("int"))).alias("scheduled_arrival"),
-        F.concat(_pick(GATE_LETTERS, u % 10), (u % 20 + 1).cast("string")).alias("gate"),
-        F.when((u + dn) % 3 != 0, F.concat(F.lit("N"), (F.lit(100) + u % 50).cast("string"))).alias("aircraft"),
-        midnight.alias("start_ts"),
-        F.array(*[(F.lit(60) * (F.lit(120) + (u * 7 + dn * 13 + p * 31) % 181)).cast("int") for p in range(5)]).alias(
-            "phase_seconds"
-        ),
+        f"{_pick(DEPARTURES, 'u % 10')} as departure_station",
+        f"{_pick(ARRIVALS, f'(u + {dn}) % 10')} as arrival_station",
+        f"timestampadd(HOUR, cast(3 + u % 6 as int), {midnight}) as scheduled_departure",
+        f"timestampadd(HOUR, cast(3 + u % 6 + 2 + u % 4 as int), {midnight}) as scheduled_arrival",
+        f"concat({_pick(GATE_LETTERS, 'u % 10')}, u % 20 + 1) as gate",
+        f"case when (u + {dn}) % 3 <> 0 then concat('N', 100 + u % 50) end as aircraft",
+        f"{midnight} as start_ts",
+        f"array({phases}) as phase_seconds",
     )
 
 
 def flight_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One typed flight event per source row."""
-    source, k = F.col("event_type"), _k()
-    event_type = (
-        F.when(source == "purchase", "DELAY_ANNOUNCED")
-        .when(source == "view", "GATE_CHANGED")
-        .when(source == "signup", "GATE_ASSIGNED")
-        .when((source == "error") & (k % 2 == 0), "FLIGHT_CANCELLED")
-        .when(source == "error", "DELAY_ANNOUNCED")
-        .otherwise(_pick(CLICK_TYPES, k % 4))
-    )
-
-    def text(*parts: Column | str) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-    data = (
-        F.when(source == "purchase", text('{"delayMinutes":', F.floor("value"), "}"))
-        .when(source == "view", text('{"gate":"C', k, '"}'))
-        .when(source == "signup", text('{"gate":"B', k, '"}'))
-        .when((source == "error") & (k % 2 == 0), text('{"reason":"R', k, '"}'))
-        .otherwise("{}")
-    )
-    return source_events(spark, sf_dir).select(
-        event_type.alias("event_type"),
-        _number(F.col("user_id")).alias("flight_number"),
-        F.to_date("ts").alias("flight_date"),
-        data.alias("data"),
-        F.col("event_id").alias("event_seq"),
-        F.col("ts").alias("event_ts"),
+    rows = source_events(spark, sf_dir).selectExpr("event_id", "ts", "user_id", "event_type", "value", f"{K} as k")
+    return rows.selectExpr(
+        f"""case when event_type = 'purchase' then 'DELAY_ANNOUNCED'
+                 when event_type = 'view' then 'GATE_CHANGED'
+                 when event_type = 'signup' then 'GATE_ASSIGNED'
+                 when event_type = 'error' and k % 2 = 0 then 'FLIGHT_CANCELLED'
+                 when event_type = 'error' then 'DELAY_ANNOUNCED'
+                 else {_pick(CLICK_TYPES, 'k % 4')} end as event_type""",
+        f"{NUMBER} as flight_number",
+        f"{DAY} as flight_date",
+        """case when event_type = 'purchase' then concat('{"delayMinutes":', floor(value), '}')
+                when event_type = 'view' then concat('{"gate":"C', k, '"}')
+                when event_type = 'signup' then concat('{"gate":"B', k, '"}')
+                when event_type = 'error' and k % 2 = 0 then concat('{"reason":"R', k, '"}')
+                else '{}' end as data""",
+        "event_id as event_seq",
+        "ts as event_ts",
     )
 
 
@@ -181,8 +160,8 @@ LEG_FIELDS = (
 
 def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's flights of one week as one nested journey of at most seven legs."""
-    week = F.floor(_day_number(F.col("flight_date")) / F.lit(7)).cast("string")
-    journey_id = F.concat(F.lit("J"), F.substring("flight_number", 3, 20), F.lit("W"), week)
+    week = f"datediff(flight_date, DATE'{FIRST_DAY}') div 7"
+    journey_id = F.expr(f"concat('J', substring(flight_number, 3), 'W', {week})")
     by_date = F.struct("flight_date", *[c for c in LEG_FIELDS if c != "flight_date"])
     return (
         flights(spark, sf_dir)
@@ -208,22 +187,18 @@ def journey_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw history of each key: numbered events of 18 types."""
-    events = _dated(source_events(spark, sf_dir)).select(
-        "flight_key",
-        F.col("ts").alias("event_ts"),
-        F.col("event_id").alias("source_id"),
-        _pick(HISTORY_TYPES, F.col("event_id") % 18).alias("event_type"),
-        _pick(SIGNAL_NAMES, _k() % 3).alias("signal_name"),
+    events = source_events(spark, sf_dir).selectExpr(
+        f"{KEY} as flight_key",
+        "ts as event_ts",
+        f"{_pick(HISTORY_TYPES, 'event_id % 18')} as event_type",
+        f"{_pick(SIGNAL_NAMES, f'{K} % 3')} as signal_name",
     )
-    return with_row_number(events, ["flight_key"], ["event_ts"], "event_id").drop("source_id")
+    return with_row_number(events, ["flight_key"], ["event_ts"], "event_id")
 
 
 def external_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _dated(source_events(spark, sf_dir))
-        .filter(F.col("event_type") == "error")
-        .select("flight_key", F.col("ts").alias("external_ts"), _k().alias("k"))
-    )
+    errors = source_events(spark, sf_dir).filter("event_type = 'error'")
+    return errors.selectExpr(f"{KEY} as flight_key", "ts as external_ts", f"{K} as k")
 
 
 def _user_of_number() -> Column:
