@@ -1,0 +1,58 @@
+"""The slot fold of one flight, as kept in streaming state.
+
+Same rule as the batch fold: a signal belongs to the first entry time at or after it, and a
+slot keeps only its last delay and last gate, plus the flight's earliest cancellation slot.
+So state has a fixed size, and arrival order does not matter.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_left
+from itertools import accumulate
+
+from flightops.schemas import CANCEL, CANCEL_BOUNDARIES, DEFAULT_DELAY, DELAY, GATE, PHASES, STATES
+
+
+def entry_times(start_us: int, phase_seconds) -> list[int]:
+    return list(accumulate((int(s) * 1_000_000 for s in phase_seconds), initial=int(start_us)))
+
+
+def new_fold(entered: list[int]) -> dict:
+    return {"entered": entered, DELAY: [None] * (PHASES + 1), GATE: [None] * (PHASES + 1), "cancel": None}
+
+
+def apply_signal(fold: dict, ts: int, seq: int, signal: str, value) -> bool:
+    """Take in one signal; False if it lies outside the planned span."""
+    entered = fold["entered"]
+    slot = bisect_left(entered, ts)
+    if ts < entered[0] or slot > PHASES:
+        return False
+    if signal == CANCEL:
+        if slot <= CANCEL_BOUNDARIES:
+            slot = max(slot, 1)
+            fold["cancel"] = slot if fold["cancel"] is None else min(fold["cancel"], slot)
+    else:
+        kept = fold[signal][slot]
+        if kept is None or (ts, seq) > (kept[0], kept[1]):
+            fold[signal][slot] = [ts, seq, value]
+    return True
+
+
+def in_force(fold: dict, signal: str, slot: int, otherwise):
+    """Last value signalled up to and with a slot."""
+    for kept in reversed(fold[signal][: slot + 1]):
+        if kept is not None:
+            return kept[2]
+    return otherwise
+
+
+def state_at(fold: dict, slot: int) -> str:
+    return "CANCELLED" if fold["cancel"] == slot else STATES[slot]
+
+
+def is_end(fold: dict, slot: int) -> bool:
+    return slot == PHASES or fold["cancel"] == slot
+
+
+def delay_in_force(fold: dict, slot: int) -> int:
+    return in_force(fold, DELAY, slot, DEFAULT_DELAY)
