@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flightops.functions.keys import state_ordinal
 from flightops.functions.times import epoch_micros, seconds_between
 from flightops.operators.ordered import with_running_last
+from flightops.operators.skew import behind_own_exchange
 from flightops.schemas import CANCEL, DELAY, GATE
 
 
@@ -159,8 +160,9 @@ def transitions_near_events(transitions: DataFrame, external: DataFrame, minutes
     A flight has at most seven transitions, so the join is linear in the external events.
     """
     distance = epoch_micros(F.col("external_ts")) - epoch_micros(F.col("timestamp"))
+    moves = behind_own_exchange(transitions.select("flight_key", "to_state", "timestamp"), "flight_key")
     return (
-        external.join(transitions.select("flight_key", "to_state", "timestamp"), "flight_key")
+        external.join(moves, "flight_key")
         .filter(F.abs(distance) <= minutes * 60 * 1_000_000)
         .select("flight_key", "to_state", "timestamp", "external_ts", "k", distance.alias("offset_micros"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flightops.functions.keys import flight_key
 from flightops.functions.payload import extract_delay_minutes, extract_gate, extract_reason
+from flightops.operators.skew import behind_own_exchange
 from flightops.schemas import (
     CANCEL,
     DELAY,
@@ -114,13 +115,13 @@ def validate_signals(signals: DataFrame) -> DataFrame:
 
 # --- routing ------------------------------------------------------------------------------
 # `flights_with_end` has one row per flight (lifecycle.flights_with_end), so each join below
-# yields at most one row per signal. In all of them the signals are the side a hot flight
-# makes large, and it is the side the adaptive skew join can split.
+# yields at most one row per signal. In all of them the signals are the left side, the one a
+# hot flight makes large and the adaptive skew join can split.
 
 
 def accepted_signals(signals: DataFrame, flights_with_end: DataFrame) -> DataFrame:
     """Signals that reach a flight that exists and is open."""
-    open_between = flights_with_end.select("flight_key", "start_ts", "end_ts")
+    open_between = behind_own_exchange(flights_with_end.select("flight_key", "start_ts", "end_ts"), "flight_key")
     return (
         signals.join(open_between, "flight_key")
         .filter(F.col("event_ts").between(F.col("start_ts"), F.col("end_ts")))
@@ -134,7 +135,7 @@ def signals_without_flight(signals: DataFrame, flights: DataFrame) -> DataFrame:
 
 def signals_outside_window(signals: DataFrame, flights_with_end: DataFrame) -> DataFrame:
     """Signals to a known flight before its start or after its end."""
-    open_between = flights_with_end.select("flight_key", "start_ts", "end_ts")
+    open_between = behind_own_exchange(flights_with_end.select("flight_key", "start_ts", "end_ts"), "flight_key")
     problem = F.when(F.col("event_ts") < F.col("start_ts"), "before_start").when(
         F.col("event_ts") > F.col("end_ts"), "after_end"
     )

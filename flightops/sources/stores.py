@@ -15,7 +15,8 @@ def read_transitions(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
 
     `fmt` may name any installed reader; a folder written by `write_transitions` is parquet.
     """
-    return spark.read.schema(TRANSITIONS).format(fmt).load(path)
+    stored = spark.read.schema(TRANSITIONS).format(fmt).load(path)
+    return stored.select(*[field.split()[0] for field in TRANSITIONS.split(", ")])
 
 
 def write_transitions(transitions: DataFrame, path: str) -> None:

@@ -54,7 +54,10 @@ def write_messages(
         options = {"kafka.acks": "1", "kafka.retries": "3", **topic_options}
         writer = messages.select("key", "value").writeStream.format("kafka").options(**options)
     else:
-        writer = messages.writeStream.format("json").option("path", path)
+        # The writer's default would cut times to milliseconds.
+        writer = messages.writeStream.format("json").options(
+            path=path, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+        )
     return _started(writer, checkpoint, available_now)
 
 
@@ -107,8 +110,8 @@ def write_with_late_rows(
     checkpoint: str,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Split a stream by the watermark rule: rows not later than `delay_seconds` behind the newest
-    event of the earlier micro-batches go to one folder, later ones to another.
+    """Split a stream by the watermark rule: rows `delay_seconds` or more behind the newest event of
+    the earlier micro-batches are late and go to a folder of their own.
 
     Each micro-batch overwrites its own subfolder, so a replay changes nothing; its newest event
     time is kept in `marks_path`, one row per micro-batch.
