@@ -47,15 +47,13 @@ def transitions_by_state(transitions: DataFrame, state: str) -> DataFrame:
     return transitions.filter(F.col("to_state") == state)
 
 
-def audit_trail(
-    history: DataFrame, key: str | None = None, zone: str = "UTC", ordered: bool = True
-) -> DataFrame:
-    """History events made readable, of one key or of all, in event order.
+def audit_trail(history: DataFrame, key: str | None = None, zone: str = "UTC") -> DataFrame:
+    """History events made readable: of one key in event order, or of all keys as a table.
 
-    `ordered=False` leaves out the sort, for rows that are aggregated further.
+    The whole table is not sorted; `event_id` carries the order within each key.
     """
-    rows = history if key is None else history.filter(F.col("flight_key") == key)
-    trail = rows.select(
+    rows = history if key is None else history.filter(F.col("flight_key") == key).orderBy("event_id")
+    return rows.select(
         "flight_key",
         "event_id",
         "event_type",
@@ -63,7 +61,6 @@ def audit_trail(
         describe_history_event(F.col("event_type"), F.col("signal_name")).alias("description"),
         categorize_history_event(F.col("event_type")).alias("category"),
     )
-    return trail.orderBy("flight_key", "event_id") if ordered else trail
 
 
 def build_history(transitions: DataFrame, accepted: DataFrame, execution: DataFrame | None = None) -> DataFrame:

@@ -91,7 +91,7 @@ class Tables:
 
     @cached_property
     def audit(self) -> DataFrame:
-        return history.audit_trail(self.view("history_events"), ordered=False)
+        return history.audit_trail(self.view("history_events"))
 
 
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -340,7 +340,7 @@ def transitions_for_flight_date(t):
 
 @query
 def audit_trail(t):
-    return history.audit_trail(t.view("history_events"))
+    return t.audit
 
 
 @query

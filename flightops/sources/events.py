@@ -47,22 +47,23 @@ def read_flight_events(
 
 
 def _is_date(text: Column) -> Column:
-    return text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull()
+    return text.rlike(r"^\d{4}-\d{2}-\d{2}$") & text.try_cast("date").isNotNull()
 
 
 def _parsed(raw: DataFrame) -> DataFrame:
     """Every message with its fields and, if it cannot be used, the reason."""
-    # The one-element explode keeps the optimizer from repeating the parse in each condition
-    # of the pushed-down filter: a message is parsed once.
-    documents = raw.select("*", F.explode(F.array(F.try_parse_json("value"))).alias("doc"))
-    fields = documents.select(
-        *raw.columns,
+    documents = raw.withColumn("doc", F.try_parse_json("value"))
+    # A type or date that is an object or array is not valid as text either.
+    fields = F.struct(
         F.col("doc").isNull().alias("malformed"),
-        json_text(F.col("doc"), "$.eventType").alias("event_type"),
+        F.try_variant_get("doc", "$.eventType", "string").alias("event_type"),
         json_text(F.col("doc"), "$.flightNumber").alias("flight_number"),
-        json_text(F.col("doc"), "$.flightDate").alias("date_text"),
+        F.try_variant_get("doc", "$.flightDate", "string").alias("date_text"),
         json_text(F.col("doc"), "$.data").alias("data"),
     )
+    # The one-element list keeps the optimizer from repeating the parse in each condition of
+    # the filter on `reason`, which it would push below the projection.
+    fields = documents.select(*raw.columns, F.inline(F.array(fields)))
     reason = (
         F.when(F.col("malformed"), "bad_json")
         .when(
@@ -83,7 +84,7 @@ def parse_flight_events(raw: DataFrame) -> DataFrame:
         .select(
             "event_type",
             "flight_number",
-            F.try_to_date("date_text", "yyyy-MM-dd").alias("flight_date"),
+            F.col("date_text").try_cast("date").alias("flight_date"),
             "data",
             "event_seq",
             "event_ts",

@@ -181,7 +181,10 @@ def test_audit_trail_is_rebuilt_in_order(spark):
     flights = r.flights(spark, r.flight("AA1"))
     signals = r.signals(spark, r.delay("AA1", 1, 45, 1), r.cancel("AA1", 2, seq=2))
     accepted = sg.accepted_signals(signals, lifecycle.flights_with_end(flights, signals))
-    trail = history.build_audit_trail(lifecycle.transitions_with_context(flights, signals), accepted).collect()
+    rebuilt = history.build_history(lifecycle.transitions_with_context(flights, signals), accepted)
+    trail = history.audit_trail(rebuilt, r.key("AA1")).collect()
+    assert history.audit_trail(rebuilt, "flight-XX").count() == 0
+    assert history.build_audit_trail(lifecycle.transitions_with_context(flights, signals), accepted).count() == 8
     assert [e.event_id for e in trail] == list(range(1, 9))
     assert [e.description for e in trail] == [
         "Workflow execution started",
