@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,31 +20,40 @@ def read_transitions(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
     return stored.select(*[field.split()[0] for field in TRANSITIONS.split(", ")])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        read_transitions(spark, path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def write_transitions(transitions: DataFrame, path: str) -> None:
     """Append the rows whose id is not stored yet, partitioned by date.
 
     Tasks take ranges of (date, flight number), so a busy date is written by many of them, a
-    task writes few dates, and files carry narrow min/max ranges.
+    task writes few dates, and files carry narrow min/max ranges. Of the store only the ids of
+    the folders between the first and last date of the new rows are read.
     """
-    spark = transitions.sparkSession
-    new = transitions.dropDuplicates(["id"])
+    # Kept for the passes below: finding its dates, sampling the ranges, writing.
+    new = transitions.dropDuplicates(["id"]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stored = read_transitions(spark, path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = None
-    if stored is not None:
-        new = new.join(stored.select("id", "flight_date"), ["id", "flight_date"], "left_anti").select(
-            *transitions.columns
+        unseen = new
+        if _exists(new.sparkSession, path):
+            first, last = new.agg(F.min("flight_date"), F.max("flight_date")).first()
+            stored = read_transitions(new.sparkSession, path).filter(F.col("flight_date").between(first, last))
+            unseen = new.join(stored.select("id"), "id", "left_anti")
+        (
+            unseen.repartitionByRange("flight_date", "flight_number")
+            .sortWithinPartitions("flight_date", "flight_number", "timestamp")
+            .write.mode("append")
+            .partitionBy("flight_date")
+            .parquet(path)
         )
-    (
-        new.repartitionByRange("flight_date", "flight_number")
-        .sortWithinPartitions("flight_date", "flight_number", "timestamp")
-        .write.mode("append")
-        .partitionBy("flight_date")
-        .parquet(path)
-    )
+    finally:
+        new.unpersist()
 
 
 def state_change_messages(changes: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -113,24 +113,28 @@ def write_with_late_rows(
     """Split a stream by the watermark rule: rows `delay_seconds` or more behind the newest event of
     the earlier micro-batches are late and go to a folder of their own.
 
-    Each micro-batch overwrites its own subfolder, so a replay changes nothing; its newest event
-    time is kept in `marks_path`, one row per micro-batch.
+    Each micro-batch overwrites its own subfolder, so a replay changes nothing. `marks_path` gets
+    one row per micro-batch, the newest event time so far; the next one reads just that row.
     """
 
     def split(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            marks = spark.read.schema("batch_id bigint, newest_us bigint").parquet(marks_path)
-            newest = marks.filter(F.col("batch_id") < batch_id).agg(F.max("newest_us")).first()[0]
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            newest = None
-        event_us = epoch_micros(F.col("event_ts"))
-        late = F.lit(False) if newest is None else event_us <= newest - delay_seconds * 1_000_000
-        part = f"batch_id={batch_id}"
-        batch.filter(~late).write.mode("overwrite").parquet(f"{on_time_path}/{part}")
-        batch.filter(late).write.mode("overwrite").parquet(f"{late_path}/{part}")
-        batch.agg(F.max(event_us).alias("newest_us")).write.mode("overwrite").parquet(f"{marks_path}/{part}")
+            event_us = epoch_micros(F.col("event_ts"))
+            newest = batch.agg(F.max(event_us)).first()[0]
+            before = None
+            if batch_id > 0:
+                marks = spark.read.schema("newest_us bigint").parquet(f"{marks_path}/batch_id={batch_id - 1}")
+                before = marks.first().newest_us
+            late = F.lit(False) if before is None else event_us <= before - delay_seconds * 1_000_000
+            part = f"batch_id={batch_id}"
+            batch.filter(~late).write.mode("overwrite").parquet(f"{on_time_path}/{part}")
+            batch.filter(late).write.mode("overwrite").parquet(f"{late_path}/{part}")
+            reached = max((ts for ts in (before, newest) if ts is not None), default=None)
+            mark = spark.range(1).select(F.lit(reached).cast("bigint").alias("newest_us"))
+            mark.write.mode("overwrite").parquet(f"{marks_path}/{part}")
+        finally:
+            batch.unpersist()
 
     return _started(events.writeStream.foreachBatch(split), checkpoint, available_now)
