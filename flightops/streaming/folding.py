@@ -8,8 +8,12 @@ So state has a fixed size, and arrival order does not matter.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
+import pandas as pd
+
 from flightops.schemas import CANCEL, CANCEL_BOUNDARIES, DEFAULT_DELAY, DELAY, GATE, PHASES, STATES
 
 
@@ -56,3 +60,13 @@ def is_end(fold: dict, slot: int) -> bool:
 
 def delay_in_force(fold: dict, slot: int) -> int:
     return in_force(fold, DELAY, slot, DEFAULT_DELAY)
+
+
+def records(batch: pd.DataFrame, row_type) -> Iterator:
+    """The rows of a batch as a given named tuple. Per key there are few rows, so what counts is
+    the cost per call, which is far below that of the frame's own row iterators."""
+    return map(row_type._make, zip(*(batch[name].tolist() for name in row_type._fields), strict=True))
+
+
+def frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(np.array([[row.get(c) for c in columns] for row in rows], dtype=object), columns=columns)

@@ -7,6 +7,7 @@ fixed size. Legs are settled in order as the watermark passes what decides them.
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,7 @@ _OUT = (
     "current_state string, cancelled_by string, gate string, delay int, aircraft string, n_transitions int"
 )
 _OUT_COLUMNS = [field.split()[0] for field in _OUT.split(", ")]
+_Row = namedtuple("_Row", "kind ts_us seq flight_key signal delay_minutes gate legs")
 
 
 def _begin(start_us: int, legs: list[dict], turnaround_seconds: int) -> list[dict]:
@@ -79,7 +81,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     (journey_id,) = key
     kept = json.loads(state.get[0]) if state.exists else {"legs": None, "next": 0, "cancel": None, "waiting": []}
     for batch in batches:
-        for row in batch.itertuples(index=False):
+        for row in folding.records(batch, _Row):
             if row.kind == "start" and kept["legs"] is None:
                 kept["legs"] = _begin(row.ts_us, json.loads(row.legs), int(row.seq))
             elif row.kind == "cancel":
@@ -126,7 +128,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         state.update((json.dumps(kept),))
         state.setTimeoutTimestamp(-(-due // 1000))
     if out:
-        yield pd.DataFrame(out, columns=_OUT_COLUMNS)
+        yield folding.frame(out, _OUT_COLUMNS)
 
 
 def stream_journey(

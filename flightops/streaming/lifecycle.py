@@ -8,6 +8,7 @@ output equals the batch history whatever the arrival order within the watermark
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,10 @@ _OUT = (
     "ts_us bigint, gate string, delay int, aircraft string, seq bigint, signal string"
 )
 _OUT_COLUMNS = [field.split()[0] for field in _OUT.split(", ")]
+_Row = namedtuple(
+    "_Row",
+    "kind flight_key ts_us seq signal delay_minutes gate flight_number flight_date aircraft phase_seconds",
+)
 
 
 def _value(row) -> object:
@@ -64,7 +69,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     out: list[dict] = []
 
     for batch in batches:
-        rows = list(batch.itertuples(index=False))
+        rows = list(folding.records(batch, _Row))
         for row in rows:
             if row.kind == "start" and kept["flight"] is None:
                 entered = folding.entry_times(row.ts_us, row.phase_seconds)
@@ -109,7 +114,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         state.update((json.dumps(kept),))
         state.setTimeoutTimestamp(-(-due // 1000))
     if out:
-        yield pd.DataFrame(out, columns=_OUT_COLUMNS)
+        yield folding.frame(out, _OUT_COLUMNS)
 
 
 def lifecycle_stream(starts: DataFrame, signals: DataFrame, delay: str = "10 minutes") -> DataFrame:
