@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops.functions.describe import state_change_payload
-from flightops.schemas import TRANSITIONS
+from flightops.schemas import DEFAULT_DELAY, TRANSITIONS
 
 
 def read_transitions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -57,11 +57,15 @@ def write_transitions(transitions: DataFrame, path: str) -> None:
 
 
 def state_change_messages(changes: DataFrame) -> DataFrame:
-    """State changes as keyed JSON messages; the key is the flight number."""
+    """State changes as keyed JSON messages; the key is the flight number.
+
+    Changes without `gate` or `delay` columns are sent with no gate and a delay of 0.
+    """
+    gate = F.col("gate") if "gate" in changes.columns else F.lit(None).cast("string")
+    delay = F.col("delay") if "delay" in changes.columns else F.lit(DEFAULT_DELAY)
+    states = [F.col(name) for name in ("flight_number", "previous_state", "new_state", "timestamp")]
     return changes.select(
-        F.col("flight_number").alias("key"),
-        state_change_payload(*[F.col(c) for c in ("flight_number", "previous_state", "new_state", "timestamp",
-                                                  "gate", "delay")]).alias("value"),
+        F.col("flight_number").alias("key"), state_change_payload(*states, gate, delay).alias("value")
     )
 
 

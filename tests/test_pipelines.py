@@ -126,6 +126,9 @@ def test_state_changes_to_a_folder(spark, tmp_path):
     sent = spark.read.json(f"{tmp_path}/m")
     assert {x.key for x in sent.collect()} == {"AA1"}
     assert sent.count() == 6
+    short = stores.state_change_messages(changes.drop("gate", "delay")).first()
+    assert json.loads(short.value)["gate"] is None
+    assert json.loads(short.value)["delay"] == 0
 
 
 def test_delay_windows_stream_equals_batch(spark, tables, tmp_path):
