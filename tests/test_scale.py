@@ -142,3 +142,11 @@ def test_running_values_spread_a_hot_flight(small_skew, hot):
     assert (rows.delay.to_numpy() == expected.delay_minutes.ffill().fillna(0).astype(int).to_numpy()).all()
     own = flights.filter(F.col("flight_key") == key).first().gate
     assert (rows.gate.to_numpy() == expected.gate.ffill().fillna(own).to_numpy()).all()
+
+
+def test_signals_are_shuffled_once_for_the_fold(shuffled, hot):
+    """One exchange of the signals, two narrow ones of the flights; both aggregations run in place."""
+    flights, signals, _ = hot
+    plan = _plan(lifecycle.transitions_with_context(flights, signals))
+    exchanges = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert exchanges == ["flight_key"] * 3
