@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flightops.llm import token_output
+from flightops.llm import language, token_output
 from flightops.llm.common import session_for_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +33,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     session_for_texts(spark)
     docs = table(spark, sf_dir, "documents")
     return token_output.read_tokens(spark, token_output.write_tokens(docs, tokenizer_path(), END_ID))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the rows that are not held out."""
+    session_for_texts(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out().alias("held_out"))
+    model = language.train(docs.filter(~F.col("held_out")))
+    return language.predict(docs, model, ("doc_id", "held_out"))
