@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.llm import language, token_output
+from flightops.llm import language, near_dedup, token_output
 from flightops.llm.common import session_for_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out().alias("held_out"))
     model = language.train(docs.filter(~F.col("held_out")))
     return language.predict(docs, model, ("doc_id", "held_out"))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate group, on two-word shingles."""
+    session_for_texts(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
