@@ -2,4 +2,62 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+DECONTAMINATION = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+runs AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n,
+    array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS run
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM runs),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS run
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item_id, i, runs.n AS n FROM places JOIN runs ON places.run = runs.run AND places.n = runs.n),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle FROM documents),
+per AS (SELECT source, sum(size) AS source_size FROM d GROUP BY 1),
+ranked AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS curve FROM per),
+weighed AS (SELECT *, CASE curve WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM ranked),
+ordered AS (
+  SELECT *, row_number() OVER w AS place, CAST(sum(source_size) OVER () AS DOUBLE)
+    - coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM weighed WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
+level AS (SELECT place AS p, rest AS r, weights AS ws FROM ordered
+  WHERE rest * weight <= 3 * source_size * weights ORDER BY place LIMIT 1),
+goals AS (
+  SELECT source, source_size, curve, CASE WHEN place < p THEN CAST(3 * source_size AS DOUBLE)
+    ELSE r * weight / ws END AS target FROM ordered, level),
+placed AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target, g.curve, coalesce(sum(d.size) OVER (PARTITION BY d.source
+    ORDER BY shuffle, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+times AS (
+  SELECT *, (before + size / 2) / target AS f0, (source_size + before + size / 2) / target AS f1,
+    (2 * source_size + before + size / 2) / target AS f2 FROM placed)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  size * CAST(coalesce(f0 < 1, false)::INT + coalesce(f1 < 1, false)::INT + coalesce(f2 < 1, false)::INT AS BIGINT) AS taken,
+  CASE WHEN size > 0 AND f0 < 1 THEN CASE curve
+    WHEN 0 THEN 2 * (f0 * 5) / (6 + sqrt(36 - 4 * (f0 * 5)))
+    WHEN 1 THEN 2 * (f0 * 2) / (1 + sqrt(1 + 4 * (f0 * 2)))
+    ELSE 2 * f0 / 2 END END AS first_position
+FROM times
+"""
+
+ORACLE: dict[str, str] = {"op2_decontamination": DECONTAMINATION, "op8_mixing": MIXING}

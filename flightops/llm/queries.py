@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.llm import language, near_dedup, token_output
+from flightops.llm import decontaminate, language, mixing, near_dedup, token_output
 from flightops.llm.common import session_for_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,19 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate group, on two-word shingles."""
     session_for_texts(spark)
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document stand in a window of which benchmark items."""
+    session_for_texts(spark)
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document, and when first."""
+    session_for_texts(spark)
+    plan = mixing.schedule(table(spark, sf_dir, "documents"))
+    taken = (F.size("positions") * F.col("size")).alias("taken")
+    return plan.select("doc_id", "size", "source_size", "target", taken, F.get("positions", F.lit(0)).alias("first_position"))
