@@ -60,4 +60,28 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 FROM times
 """
 
-ORACLE: dict[str, str] = {"op2_decontamination": DECONTAMINATION, "op8_mixing": MIXING}
+PREFERENCE = r"""
+WITH c AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role, text) AS t
+  FROM conversations GROUP BY 1),
+p AS (
+  SELECT a.conv_id AS pair_id, a.t AS c, coalesce(b.t, []) AS o,
+    coalesce(list_max(list_transform(list_filter(a.t, lambda x: x.role = 'assistant'), lambda x: x.turn)), -4611686018427387904) AS last
+  FROM c a LEFT JOIN c b ON xor(b.conv_id, 1) = a.conv_id),
+r AS (SELECT pair_id, c, list_concat(list_filter(c, lambda x: x.turn < last), list_filter(o, lambda x: x.turn >= last)) AS r FROM p),
+n AS (SELECT *, coalesce(list_filter(range(1, least(len(c), len(r)) + 1), lambda i:
+    c[i].role IS DISTINCT FROM r[i].role OR c[i].text IS DISTINCT FROM r[i].text)[1] - 1, least(len(c), len(r))) AS k FROM r),
+s AS (
+  SELECT pair_id, k, list_transform(c, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || chr(10)) AS cs,
+    list_transform(r, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || chr(10)) AS rs,
+    list_transform(c, lambda x: CASE WHEN x.role = 'assistant' THEN '+' ELSE '-' END) AS cm,
+    list_transform(r, lambda x: CASE WHEN x.role = 'assistant' THEN '+' ELSE '-' END) AS rm FROM n)
+SELECT pair_id, CAST(k AS INTEGER) AS prefix_turns, coalesce(array_to_string(cs[1:k], ''), '') AS prompt,
+  coalesce(array_to_string(cs[k + 1:], ''), '') AS chosen, coalesce(array_to_string(rs[k + 1:], ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(range(k + 1, len(cs) + 1), lambda i: length(cs[i]) || cm[i]), ','), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(range(k + 1, len(rs) + 1), lambda i: length(rs[i]) || rm[i]), ','), '') AS rejected_mask
+FROM s
+"""
+
+ORACLE: dict[str, str] = {
+    "op5_preference_format": PREFERENCE,
+    "op2_decontamination": DECONTAMINATION, "op8_mixing": MIXING}

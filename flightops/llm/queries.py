@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.llm import decontaminate, language, mixing, near_dedup, token_output
+from flightops.llm import decontaminate, language, mixing, near_dedup, preference, token_output, url_filter
 from flightops.llm.common import session_for_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,34 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.schedule(table(spark, sf_dir, "documents"))
     taken = (F.size("positions") * F.col("size")).alias("taken")
     return plan.select("doc_id", "size", "source_size", "target", taken, F.get("positions", F.lit(0)).alias("first_position"))
+
+
+@query
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against the same with a foreign ending: prompt and masked completions."""
+    session_for_texts(spark)
+    pairs = preference.with_foreign_ending(table(spark, sf_dir, "conversations"))
+    out = preference.format_preferences(pairs)
+
+    def shape(c: str) -> list[Column]:
+        mask = F.array_join(F.transform(c, lambda s: F.concat(F.length(s.text).cast("string"), F.when(s.train, "+").otherwise("-"))), ",")
+        return [F.array_join(F.transform(c, lambda s: s.text), "").alias(c), mask.alias(f"{c}_mask")]
+
+    return out.select("pair_id", "prefix_turns", "prompt", *shape("chosen"), *shape("rejected"))
+
+
+# Fixed values of the contract.
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by rule, or by a model trained on the labelled URL table."""
+    session_for_texts(spark)
+    return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES)
