@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.llm import decontaminate, language, mixing, near_dedup, preference, token_output, url_filter
+from flightops.llm import decontaminate, language, mixing, near_dedup, preference, token_output, topk, url_filter
 from flightops.llm.common import session_for_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict by rule, or by a model trained on the labelled URL table."""
     session_for_texts(spark)
     return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERY_EVERY, BEST = 50, 5  # fixed values of the contract
+
+
+@query
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every vector whose id is divisible by 50."""
+    session_for_texts(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.integers().alias("v"))
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % QUERY_EVERY == 0), BEST)
