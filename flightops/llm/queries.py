@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.llm import decontaminate, language, mixing, near_dedup, preference, token_output, topk, url_filter
+from flightops.llm import decontaminate, language, mixing, near_dedup, preference, substring, token_output, topk, url_filter
 from flightops.llm.common import session_for_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,10 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     session_for_texts(spark)
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.integers().alias("v"))
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % QUERY_EVERY == 0), BEST)
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that repeats an earlier one, and where the original is."""
+    session_for_texts(spark)
+    return substring.repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
