@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.llm import decontaminate, language, mixing, near_dedup, preference, substring, token_output, topk, url_filter
+from flightops.llm import decontaminate, language, mixing, near_dedup, pii, preference, substring, token_output, topk, url_filter
 from flightops.llm.common import session_for_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of a document that repeats an earlier one, and where the original is."""
     session_for_texts(spark)
     return substring.repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: the patterns' spans counted, all spans listed."""
+    session_for_texts(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s.base)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
