@@ -24,7 +24,9 @@ HEADLINE = (
     "transitions_with_context",
     "flight_outcome",
     "state_changes",
+    "transition_order_violations",
     "journey_execution",
+    "connection_slack",
     "active_flights",
     "audit_trail",
     "build_audit_trail",

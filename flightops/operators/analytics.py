@@ -32,6 +32,20 @@ def avg_delay_by_route(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("departure_station", "arrival_station").agg(*_delay_summary())
 
 
+def past_delay_by_route(outcomes: DataFrame) -> DataFrame:
+    """Per route and day with flights, `route_avg_delay`: the mean over all days before, null on the first.
+
+    The window runs over one row per day.
+    """
+    per_day = outcomes.groupBy("departure_station", "arrival_station", "flight_date").agg(
+        F.sum("delay").alias("s"), F.count(F.lit(1)).alias("n")
+    )
+    route = Window.partitionBy("departure_station", "arrival_station").orderBy("flight_date")
+    before = route.rowsBetween(Window.unboundedPreceding, -1)
+    mean = F.round(F.sum("s").over(before) / F.sum("n").over(before), 6).alias("route_avg_delay")
+    return per_day.select("departure_station", "arrival_station", "flight_date", mean)
+
+
 def avg_delay_by_hour(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy(F.hour("scheduled_departure").alias("departure_hour")).agg(*_delay_summary())
 

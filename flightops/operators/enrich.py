@@ -29,16 +29,19 @@ def enriched_events(
     )
 
 
-def history_enriched_events(events: DataFrame, flights: DataFrame, route_delays: DataFrame) -> DataFrame:
-    """Events plus their route's past mean delay; null for unknown flights or routes.
+def history_enriched_events(events: DataFrame, flights: DataFrame, past_delays: DataFrame) -> DataFrame:
+    """Events plus the mean delay of their route on the days before; null for unknown flights or no such day.
+
+    `past_delays` has one row per route and day (analytics.past_delay_by_route).
 
     The event side stays on the left of both joins, where a hot flight can be split. Whether
     the route table is broadcast is left to its measured size.
     """
     routes = flights.select("flight_key", "departure_station", "arrival_station")
-    means = route_delays.select("departure_station", "arrival_station", F.col("avg_delay").alias("route_avg_delay"))
     keyed = events.withColumn("flight_key", flight_key(F.col("flight_number"), F.col("flight_date")))
-    return keyed.join(routes, "flight_key", "left").join(means, ["departure_station", "arrival_station"], "left")
+    return keyed.join(routes, "flight_key", "left").join(
+        past_delays, ["departure_station", "arrival_station", "flight_date"], "left"
+    )
 
 
 def risk_mix(enriched: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightops.functions.describe import categorize_history_event, describe_history_event
@@ -22,11 +22,18 @@ from flightops.schemas import (
     CANCEL,
     CANCELLED_MESSAGE,
     DEFAULT_DELAY,
+    DOMAIN_EVENT_TYPES,
     FEED_SIZE,
+    FLIGHT_ENDED_TYPE,
+    FLIGHT_STARTED_TYPE,
+    LEG_ENDED_TYPE,
+    LEG_STARTED_TYPE,
     PHASES,
+    SIGNALED_TYPE,
     STARTED_MESSAGE,
     STATES,
     TERMINAL_STATES,
+    TIMER_TYPES,
 )
 
 
@@ -43,6 +50,17 @@ def transitions_for_flight(
     return rows.orderBy(*([] if number is not None else ["flight_number"]), *newest)
 
 
+def transitions_for_flights(transitions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """History rows of every wanted flight_number, or pair with flight_date, newest first per flight.
+
+    Each task sorts its own rows; the whole history is not sorted.
+    """
+    keys = ["flight_number", *(["flight_date"] if "flight_date" in wanted.columns else [])]
+    rows = transitions.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    newest = [F.desc("timestamp"), F.desc(state_ordinal(F.col("to_state")))]
+    return rows.sortWithinPartitions("flight_number", *newest)
+
+
 def transitions_by_state(transitions: DataFrame, state: str) -> DataFrame:
     return transitions.filter(F.col("to_state") == state)
 
@@ -64,64 +82,47 @@ def audit_trail(history: DataFrame, key: str | None = None, zone: str = "UTC") -
 
 
 def build_history(transitions: DataFrame, accepted: DataFrame, execution: DataFrame | None = None) -> DataFrame:
-    """Numbered history events (input of `audit_trail`) rebuilt from the engine's own tables.
+    """Numbered history events (input of `audit_trail`) from the tables of the domain.
 
-    A transition stands for the timer that led to it and the one it starts; the first also
-    for the start of the flight, the last for its end. Legs that ran are child events of
-    their journey's key. At equal times signals come before the timer that ends the phase.
+    A flight's first transition is its start and its last one its end; between them stand the
+    accepted signals. Legs that ran are events of their journey's key.
     """
-    started, timed, fired, signalled, done, child_started, child_done = (
-        f"EVENT_TYPE_{name}"
-        for name in (
-            "WORKFLOW_EXECUTION_STARTED",
-            "TIMER_STARTED",
-            "TIMER_FIRED",
-            "WORKFLOW_EXECUTION_SIGNALED",
-            "WORKFLOW_EXECUTION_COMPLETED",
-            "CHILD_WORKFLOW_EXECUTION_STARTED",
-            "CHILD_WORKFLOW_EXECUTION_COMPLETED",
-        )
-    )
-    rank = {started: 0, signalled: 1, fired: 2, timed: 3, done: 4, child_started: 5, child_done: 6}
-
-    def event(kind: str):
-        return F.struct(F.lit(rank[kind]).alias("rank"), F.lit(kind).alias("event_type"))
-
+    rank = {kind: F.lit(i).alias("rank") for i, kind in enumerate(DOMAIN_EVENT_TYPES)}
     state = F.col("to_state")
-    of_transition = (
-        F.when(state == STATES[0], F.array(event(started), event(timed)))
-        .when(state.isin(*TERMINAL_STATES), F.array(event(fired), event(done)))
-        .otherwise(F.array(event(fired), event(timed)))
-    )
+    kind = F.when(state == STATES[0], FLIGHT_STARTED_TYPE).when(state.isin(*TERMINAL_STATES), FLIGHT_ENDED_TYPE)
     none, no_seq = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+    ends = transitions.select("flight_key", F.col("timestamp").alias("event_ts"), kind.alias("event_type"))
+    order = F.when(F.col("event_type") == FLIGHT_STARTED_TYPE, rank[FLIGHT_STARTED_TYPE]).otherwise(rank[FLIGHT_ENDED_TYPE])
     rows = (
-        transitions.select("flight_key", F.col("timestamp").alias("event_ts"), F.inline(of_transition))
-        .select("flight_key", "event_ts", "rank", no_seq.alias("seq"), "event_type", none.alias("signal_name"))
+        ends.filter(F.col("event_type").isNotNull())
+        .select("flight_key", "event_ts", order.alias("rank"), no_seq.alias("seq"), "event_type", none.alias("signal_name"))
         .unionByName(
             accepted.select(
                 "flight_key",
                 "event_ts",
-                F.lit(rank[signalled]).alias("rank"),
+                rank[SIGNALED_TYPE],
                 F.col("event_seq").alias("seq"),
-                F.lit(signalled).alias("event_type"),
+                F.lit(SIGNALED_TYPE).alias("event_type"),
                 F.col("signal").alias("signal_name"),
             )
         )
     )
     if execution is not None:
-        ends = F.array(
-            F.struct(F.col("leg_start").alias("event_ts"), event(child_started).alias("e")),
-            F.struct(F.col("leg_end").alias("event_ts"), event(child_done).alias("e")),
+        times = F.array(
+            *[
+                F.struct(F.col(at).alias("event_ts"), rank[kind], F.lit(kind).alias("event_type"))
+                for at, kind in (("leg_start", LEG_STARTED_TYPE), ("leg_end", LEG_ENDED_TYPE))
+            ]
         )
+        legs = execution.filter(F.col("leg_start").isNotNull())
+        legs = legs.select(journey_key(F.col("journey_id")).alias("flight_key"), "leg", F.inline(times))
         rows = rows.unionByName(
-            execution.filter(F.col("leg_start").isNotNull())
-            .select(journey_key(F.col("journey_id")).alias("flight_key"), "leg", F.inline(ends))
-            .select(
+            legs.select(
                 "flight_key",
                 "event_ts",
-                "e.rank",
+                "rank",
                 F.col("leg").cast("bigint").alias("seq"),
-                "e.event_type",
+                "event_type",
                 none.alias("signal_name"),
             )
         )
@@ -210,6 +211,11 @@ def latest_by_flight_number(rows: DataFrame, order: list[str]) -> DataFrame:
     return latest.select("flight_number", "last.*")
 
 
+def with_category(history: DataFrame) -> DataFrame:
+    """History events, numbered or not, with their category."""
+    return history.withColumn("category", categorize_history_event(F.col("event_type")))
+
+
 def history_counts(audit: DataFrame) -> DataFrame:
     """Events per key and category, and per key over all categories (`total`)."""
     return (
@@ -223,10 +229,10 @@ def history_counts(audit: DataFrame) -> DataFrame:
 def history_milestones(audit: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return audit.groupBy("flight_key").agg(
-        F.bool_or(kind == "EVENT_TYPE_WORKFLOW_EXECUTION_STARTED").alias("has_started"),
-        F.bool_or(kind == "EVENT_TYPE_WORKFLOW_EXECUTION_COMPLETED").alias("has_completed"),
-        F.bool_or(kind.isin("EVENT_TYPE_TIMER_STARTED", "EVENT_TYPE_TIMER_FIRED")).alias("has_timer"),
-        F.bool_or(kind == "EVENT_TYPE_WORKFLOW_EXECUTION_SIGNALED").alias("has_signal"),
+        F.bool_or(kind == FLIGHT_STARTED_TYPE).alias("has_started"),
+        F.bool_or(kind == FLIGHT_ENDED_TYPE).alias("has_completed"),
+        F.bool_or(kind.isin(*TIMER_TYPES)).alias("has_timer"),
+        F.bool_or(kind == SIGNALED_TYPE).alias("has_signal"),
     )
 
 
@@ -247,27 +253,25 @@ def active_flights(flights: DataFrame, signals: DataFrame, as_of, limit: int | N
     return rows if limit is None else rows.orderBy("flight_key").limit(limit)
 
 
-def export_history(audit: DataFrame, exported_at, page_size: int = 10_000) -> DataFrame:
-    """Envelopes with the whole history of a key: count of all its events and the events.
+def _number_of_key(key: str) -> Column:
+    return F.regexp_extract(key, r"^flight-(.*)-\d{4}-\d{2}-\d{2}$", 1).alias("flight_number")
 
-    Event ids count from 1, and each page holds those of one range of `page_size` ids, so a
-    row stays bounded. A key with up to `page_size` events is one row; a longer one goes on
-    in further pages.
-    """
-    page = F.floor((F.col("event_id") - 1) / F.lit(page_size)).cast("bigint")
-    event = F.struct("event_id", "event_type", "timestamp", "description", "category")
-    pages = (
-        audit.withColumn("page", page)
-        .groupBy("flight_key", "page")
-        .agg(F.sort_array(F.collect_list(event)).alias("history"))
-    )
-    counts = pages.groupBy("flight_key").agg(F.sum(F.size("history")).cast("bigint").alias("event_count"))
-    number = F.regexp_extract("flight_key", r"^flight-(.*)-\d{4}-\d{2}-\d{2}$", 1)
-    return pages.join(counts, "flight_key").select(
+
+def export_history(audit: DataFrame, exported_at) -> DataFrame:
+    """The readable history for a download: one row per event, whatever the number of events of a key."""
+    return audit.select(
         "flight_key",
-        number.alias("flight_number"),
+        _number_of_key("flight_key"),
         timestamp_lit(exported_at).alias("exported_at"),
-        "event_count",
-        "page",
-        "history",
+        "event_id",
+        "event_type",
+        "timestamp",
+        "description",
+        "category",
     )
+
+
+def export_envelopes(history: DataFrame, exported_at) -> DataFrame:
+    """One row per key with the number of its events; `history` need not be numbered."""
+    counts = history.groupBy("flight_key").agg(F.count(F.lit(1)).alias("event_count"))
+    return counts.select("flight_key", _number_of_key("flight_key"), timestamp_lit(exported_at).alias("exported_at"), "event_count")

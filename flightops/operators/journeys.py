@@ -73,8 +73,28 @@ def leg_outcomes(scheduled: DataFrame, signals: DataFrame) -> DataFrame:
     )
 
 
+def _with_journey_start(journey_signals: DataFrame, scheduled: DataFrame) -> DataFrame:
+    starts = scheduled.filter(F.col("leg") == 0).select("journey_id", F.col("leg_start").alias("journey_start"))
+    return journey_signals.join(starts, "journey_id", "left")
+
+
+def accepted_journey_signals(journey_signals: DataFrame, scheduled: DataFrame) -> DataFrame:
+    """Signals that find their journey begun; one before the start reaches nothing."""
+    known = _with_journey_start(journey_signals, scheduled)
+    return known.filter(F.col("event_ts") >= F.col("journey_start")).select(*journey_signals.columns)
+
+
+def rejected_journey_signals(journey_signals: DataFrame, scheduled: DataFrame) -> DataFrame:
+    """The other signals, with `problem`: unknown_journey or before_start."""
+    problem = F.when(F.col("journey_start").isNull(), "unknown_journey").when(
+        F.col("event_ts") < F.col("journey_start"), "before_start"
+    )
+    known = _with_journey_start(journey_signals, scheduled).withColumn("problem", problem)
+    return known.filter(F.col("problem").isNotNull()).select(*journey_signals.columns, "problem")
+
+
 def cascade_cancellations(outcomes: DataFrame, journey_signals: DataFrame) -> DataFrame:
-    """Adds `current_state` and `cancelled_by`.
+    """Adds `current_state` and `cancelled_by`. `journey_signals` are those the journey accepts.
 
     A journey stops at the first leg that ends cancelled (`leg`) or that would start at or
     after the journey's cancellation (`journey`); all later legs are cancelled too (`cascade`).
@@ -104,7 +124,9 @@ def aircraft_handoff(outcomes: DataFrame) -> DataFrame:
 
 def journey_execution(scheduled: DataFrame, signals: DataFrame, journey_signals: DataFrame) -> DataFrame:
     """Every leg after the journey's end. Legs that never ran have no times and no transitions."""
-    outcomes = cascade_cancellations(leg_outcomes(scheduled, signals), journey_signals)
+    outcomes = cascade_cancellations(
+        leg_outcomes(scheduled, signals), accepted_journey_signals(journey_signals, scheduled)
+    )
 
     ran = F.coalesce(F.col("cancelled_by"), F.lit("")).isin("", "leg")
 

@@ -83,6 +83,11 @@ def validate_flight_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumn("violations", _present(_leg_violations(F.col))).filter(F.size("violations") > 0)
 
 
+def valid_flight_requests(requests: DataFrame) -> DataFrame:
+    """Requests that break no rule; only these start a flight."""
+    return requests.filter(F.size(_present(_leg_violations(F.col))) == 0)
+
+
 def validate_journeys(requests: DataFrame) -> DataFrame:
     """Journeys without id or legs, or with a leg that breaks a flight rule."""
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from flightops.plans.queries import AS_OF, HISTORY_DATE, STAMP, TIGHT_MINUTES
+from flightops.plans.queries import AS_OF, HISTORY_DATE, LOOKUP_STATION, STAMP, TIGHT_MINUTES
 from flightops.plans.views import ARRIVALS, CLICK_TYPES, DEPARTURES, GATE_LETTERS, HISTORY_TYPES, SIGNAL_NAMES
 from flightops.schemas import (
     HISTORY_CATEGORIES,
@@ -278,9 +278,6 @@ VIEWS: dict[str, str] = {
     "rebuilt": """
         SELECT flight_key, timestamp AS ts, 0 AS r, 0 AS seq, 'EVENT_TYPE_WORKFLOW_EXECUTION_STARTED' AS event_type, NULL AS name
         FROM moves WHERE ordinal = 0
-        UNION ALL SELECT flight_key, timestamp, 3, 0, 'EVENT_TYPE_TIMER_STARTED', NULL
-        FROM moves WHERE to_state NOT IN ('COMPLETED', 'CANCELLED')
-        UNION ALL SELECT flight_key, timestamp, 2, 0, 'EVENT_TYPE_TIMER_FIRED', NULL FROM moves WHERE ordinal > 0
         UNION ALL SELECT flight_key, event_ts, 1, event_seq, 'EVENT_TYPE_WORKFLOW_EXECUTION_SIGNALED', signal FROM accepted
         UNION ALL SELECT flight_key, timestamp, 4, 0, 'EVENT_TYPE_WORKFLOW_EXECUTION_COMPLETED', NULL
         FROM moves WHERE to_state IN ('COMPLETED', 'CANCELLED')
@@ -300,6 +297,11 @@ VIEWS: dict[str, str] = {
                     ELSE 'LOW' END AS risk_score,
                TIMESTAMP '{STAMP}' AS enriched_timestamp
         FROM typed""",
+    "past_route": """
+        SELECT departure_station, arrival_station, flight_date, round(sum(s) OVER w / sum(n) OVER w, 6) AS route_avg_delay
+        FROM (SELECT departure_station, arrival_station, flight_date, sum(delay) AS s, count(*) AS n FROM outcomes GROUP BY 1, 2, 3)
+        WINDOW w AS (PARTITION BY departure_station, arrival_station ORDER BY flight_date
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "by_route": """
         SELECT departure_station, arrival_station, count(*) AS n_flights, round(avg(delay), 6) AS avg_delay,
                max(delay) AS max_delay
@@ -326,10 +328,10 @@ TEXTS: dict[str, str] = {
                CASE rule WHEN 'cut' THEN 'bad_json' WHEN 'type' THEN 'unknown_type' WHEN 'number' THEN 'missing_field'
                     ELSE 'bad_date' END AS reason
         FROM messages WHERE rule IN ('cut', 'type', 'number', 'date')""",
-    "flights_from_requests": """
+    "flights_from_requests": f"""
         SELECT flight_key, flight_number, flight_date, departure_station, arrival_station, scheduled_departure,
                scheduled_arrival, 'SCHEDULED' AS current_state, gate, aircraft, 0 AS delay
-        FROM asked""",
+        FROM asked a WHERE len(list_filter({_violations('a')}, lambda x: x IS NOT NULL)) = 0""",
     "journey_legs": """
         SELECT journey_id, 'journey-' || journey_id AS journey_key, leg, flight_number, flight_date, departure_station,
                arrival_station, scheduled_departure, scheduled_arrival, gate, aircraft, start_ts, flight_key
@@ -343,8 +345,11 @@ TEXTS: dict[str, str] = {
     "live_state_events": "SELECT * FROM feed",
     "export_history": f"""
         SELECT flight_key, regexp_extract(flight_key, '^flight-(.*)-[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$', 1) AS flight_number,
-               TIMESTAMP '{AS_OF}' AS exported_at, count(*) AS event_count, CAST(0 AS BIGINT) AS page,
-               string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS event_ids
+               TIMESTAMP '{AS_OF}' AS exported_at, event_id, event_type, timestamp, description, category
+        FROM trail""",
+    "export_envelopes": f"""
+        SELECT flight_key, regexp_extract(flight_key, '^flight-(.*)-[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$', 1) AS flight_number,
+               TIMESTAMP '{AS_OF}' AS exported_at, count(*) AS event_count
         FROM trail GROUP BY 1""",
     "events_to_signals": "SELECT * FROM sig",
     "unmapped_events": """
@@ -380,7 +385,7 @@ TEXTS: dict[str, str] = {
                arg_max(gate, event_ts) FILTER (signal = 'changeGate') AS last_gate,
                min(event_ts) FILTER (signal = 'cancelFlight') AS first_cancel_ts,
                arg_max(reason, event_ts) FILTER (signal = 'cancelFlight') AS last_reason
-        FROM sig GROUP BY 1""",
+        FROM accepted GROUP BY 1""",
     "transition_order_violations": f"""
         SELECT flight_key, to_state, timestamp, origin, previous_to_state FROM (
             SELECT flight_key, new_state AS to_state, timestamp, origin,
@@ -397,6 +402,9 @@ TEXTS: dict[str, str] = {
     "journey_execution": "SELECT * FROM execution",
     "cascade_cancellations": """
         SELECT journey_id, leg, flight_key, own_state, current_state, cancelled_by FROM run""",
+    "rejected_journey_signals": """
+        SELECT journey_id, 'Weather' AS reason, min(start_ts) - INTERVAL 2 HOUR AS event_ts, 'before_start' AS problem
+        FROM legs WHERE (u + w) % 10 = 5 GROUP BY 1""",
     "aircraft_handoff": "SELECT journey_id, leg, flight_key, flown AS aircraft FROM handed",
     "journey_status": """
         SELECT journey_id, leg AS position, leg, flight_number, current_state, gate, delay, aircraft FROM execution""",
@@ -419,8 +427,12 @@ TEXTS: dict[str, str] = {
                     || CASE WHEN s % 60 > 0 OR s = 0 THEN (s % 60) || 'S' ELSE '' END AS elapsed
         FROM (SELECT *, epoch_us(TIMESTAMP '{AS_OF}') // 1000000 - epoch_us(start_ts) // 1000000 AS s FROM seen)
         WHERE current_state NOT IN ('COMPLETED', 'CANCELLED')""",
-    "transitions_for_flight": f"SELECT {_TRANSITION_COLUMNS} FROM trans",
-    "transitions_for_flight_date": f"SELECT {_TRANSITION_COLUMNS} FROM trans WHERE flight_date = DATE '{HISTORY_DATE}'",
+    "transitions_for_flight": f"""
+        SELECT {_TRANSITION_COLUMNS} FROM trans
+        WHERE flight_number IN (SELECT flight_number FROM flights WHERE departure_station = '{LOOKUP_STATION}')""",
+    "transitions_for_flight_date": f"""
+        SELECT {_TRANSITION_COLUMNS} FROM trans WHERE flight_date = DATE '{HISTORY_DATE}'
+        AND flight_number IN (SELECT flight_number FROM flights WHERE departure_station = '{LOOKUP_STATION}')""",
     "audit_trail": "SELECT * FROM trail",
     "build_audit_trail": f"""
         SELECT flight_key, row_number() OVER (PARTITION BY flight_key ORDER BY ts, r, seq) AS event_id, event_type,
@@ -519,9 +531,10 @@ TEXTS: dict[str, str] = {
             FROM flights f JOIN ends e ON e.flight_key = f.flight_key)
         GROUP BY 1, 2""",
     "history_enriched_events": """
-        SELECT t.*, f.departure_station, f.arrival_station, r.avg_delay AS route_avg_delay
+        SELECT t.*, f.departure_station, f.arrival_station, r.route_avg_delay
         FROM typed t LEFT JOIN flights f ON f.flight_key = t.flight_key
-             LEFT JOIN by_route r ON r.departure_station = f.departure_station AND r.arrival_station = f.arrival_station""",
+             LEFT JOIN past_route r ON r.departure_station = f.departure_station
+                  AND r.arrival_station = f.arrival_station AND r.flight_date = t.flight_date""",
     "risk_mix": """
         SELECT flight_date, count(*) FILTER (risk_score = 'LOW') AS n_low,
                count(*) FILTER (risk_score = 'MEDIUM') AS n_medium, count(*) FILTER (risk_score = 'HIGH') AS n_high

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flightops.functions.keys import default_flight_date
 from flightops.operators import analytics, enrich, history, journeys, lifecycle, signals
 from flightops.plans import views
 from flightops.session import shared_dir, tune
@@ -16,6 +18,7 @@ from flightops.sources import events, requests, stores
 AS_OF = "2024-01-15 12:00:00"
 STAMP = "2024-01-31 00:00:00"
 HISTORY_DATE = "2024-01-15"
+LOOKUP_STATION = "ORD"
 TIGHT_MINUTES = 1200
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +82,8 @@ class Tables:
     @cached_property
     def cascaded(self) -> DataFrame:
         outcomes = journeys.leg_outcomes(self.scheduled, self.leg_signals)
-        return journeys.cascade_cancellations(outcomes, self.view("journey_signals"))
+        cancels = journeys.accepted_journey_signals(self.view("journey_signals"), self.scheduled)
+        return journeys.cascade_cancellations(outcomes, cancels)
 
     @cached_property
     def execution(self) -> DataFrame:
@@ -89,6 +93,11 @@ class Tables:
     def state_changes(self) -> DataFrame:
         return history.state_changes(self.transitions, self.accepted, self.flights)
 
+    @cached_property
+    def wanted(self) -> DataFrame:
+        """Numbers looked up in the history: those of every flight from one station."""
+        return self.flights.filter(F.col("departure_station") == LOOKUP_STATION).select("flight_number").distinct()
+
     @cached_property
     def audit(self) -> DataFrame:
         return history.audit_trail(self.view("history_events"))
@@ -123,7 +132,7 @@ def dead_letter_events(t):
 
 @query
 def flights_from_requests(t):
-    return requests.flights_from_requests(t.view("flight_requests"))
+    return requests.flights_from_requests(signals.valid_flight_requests(t.view("flight_requests")))
 
 
 @query
@@ -150,9 +159,12 @@ def live_state_events(t):
 
 @query
 def export_history(t):
-    exported = history.export_history(t.audit, AS_OF)
-    ids = F.array_join(F.transform("history", lambda e: e["event_id"].cast("string")), ",")
-    return exported.withColumn("event_ids", ids).drop("history")
+    return history.export_history(t.audit, AS_OF)
+
+
+@query
+def export_envelopes(t):
+    return history.export_envelopes(t.view("history_source"), AS_OF)
 
 
 # --- events and requests ------------------------------------------------------------------
@@ -235,7 +247,7 @@ def flight_outcome(t):
 
 @query
 def latest_signals(t):
-    return lifecycle.latest_signals(t.signals)
+    return lifecycle.latest_signals(t.accepted)
 
 
 @query
@@ -274,6 +286,11 @@ def cascade_cancellations(t):
     return t.cascaded.select("journey_id", "leg", "flight_key", "own_state", "current_state", "cancelled_by")
 
 
+@query
+def rejected_journey_signals(t):
+    return journeys.rejected_journey_signals(t.view("journey_signals"), t.scheduled)
+
+
 @query
 def aircraft_handoff(t):
     return journeys.aircraft_handoff(t.cascaded).select("journey_id", "leg", "flight_key", "aircraft")
@@ -330,12 +347,13 @@ def active_flights(t):
 
 @query
 def transitions_for_flight(t):
-    return history.transitions_for_flight(t.transitions)
+    return history.transitions_for_flights(t.transitions, t.wanted)
 
 
 @query
 def transitions_for_flight_date(t):
-    return history.transitions_for_flight(t.transitions, flight_date=HISTORY_DATE)
+    asked_on = default_flight_date(F.lit(None).cast("date"), dt.date.fromisoformat(HISTORY_DATE))
+    return history.transitions_for_flights(t.transitions, t.wanted.withColumn("flight_date", asked_on))
 
 
 @query
@@ -370,12 +388,12 @@ def latest_by_flight_number(t):
 
 @query
 def history_counts(t):
-    return history.history_counts(t.audit)
+    return history.history_counts(history.with_category(t.view("history_source")))
 
 
 @query
 def history_milestones(t):
-    return history.history_milestones(t.audit)
+    return history.history_milestones(t.view("history_source"))
 
 
 # --- analytics ----------------------------------------------------------------------------
@@ -453,8 +471,7 @@ def station_load(t):
 
 @query
 def history_enriched_events(t):
-    means = analytics.avg_delay_by_route(t.outcomes)
-    return enrich.history_enriched_events(t.events, t.flights, means)
+    return enrich.history_enriched_events(t.events, t.flights, analytics.past_delay_by_route(t.outcomes))
 
 
 @query

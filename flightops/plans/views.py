@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops.operators.ordered import with_row_number
-from flightops.operators.signals import events_to_signals
 from flightops.schemas import HISTORY_DESCRIPTIONS, SIGNALED_TYPE
 
 # --- Fixed values: what a source row stands for ---------------------------------------------
@@ -99,10 +98,6 @@ def flight_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_to_signals(flight_events(spark, sf_dir))
-
-
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as topic messages, some of them broken; the first rule that fits applies."""
     rule = F.lit(None).cast("string")
@@ -170,29 +165,38 @@ def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def journey_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cancellation 30 h after the start of every journey whose user and week add up to a multiple of 5."""
+    """A cancellation 30 h after the start of every journey whose user and week add up to a multiple of 5.
+
+    Odd multiples have another one 2 h before the start, which finds no journey.
+    """
     made = journeys(spark, sf_dir).select(
         "journey_id",
-        F.split(F.substring("journey_id", 2, 30), "W").alias("parts"),
+        F.split(F.expr("substring(journey_id, 2)"), "W").alias("parts"),
         F.col("legs")[0]["start_ts"].alias("start_ts"),
     )
     user, week = F.col("parts")[0].cast("bigint"), F.col("parts")[1].cast("bigint")
-    return made.filter((user + week) % 5 == 0).select(
+    hours = F.when((user + week) % 10 == 5, F.array(F.lit(30), F.lit(-2))).otherwise(F.array(F.lit(30)))
+    sent = made.filter((user + week) % 5 == 0).withColumn("hours", F.explode(hours))
+    return sent.select(
         "journey_id",
         F.lit("Weather").alias("reason"),
-        (F.col("start_ts") + F.make_dt_interval(hours=F.lit(30))).alias("event_ts"),
+        (F.col("start_ts") + F.make_dt_interval(hours=F.col("hours"))).alias("event_ts"),
     )
 
 
-def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw history of each key: numbered events of 18 types."""
-    events = source_events(spark, sf_dir).selectExpr(
+def history_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw history of each key: events of 18 types."""
+    return source_events(spark, sf_dir).selectExpr(
         f"{KEY} as flight_key",
         "ts as event_ts",
         f"{_pick(HISTORY_TYPES, 'event_id % 18')} as event_type",
         f"{_pick(SIGNAL_NAMES, f'{K} % 3')} as signal_name",
     )
-    return with_row_number(events, ["flight_key"], ["event_ts"], "event_id")
+
+
+def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, numbered within each key."""
+    return with_row_number(history_source(spark, sf_dir), ["flight_key"], ["event_ts"], "event_id")
 
 
 def external_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +205,7 @@ def external_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _user_of_number() -> Column:
-    return F.substring("flight_number", 3, 20).cast("bigint")
+    return F.expr("substring(flight_number, 3)").cast("bigint")
 
 
 def flight_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +221,7 @@ def flight_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def journey_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journeys as requests, some without legs; legs keep their missing aircraft."""
-    user = F.split(F.substring("journey_id", 2, 30), "W")[0].cast("bigint")
+    user = F.split(F.expr("substring(journey_id, 2)"), "W")[0].cast("bigint")
     return journeys(spark, sf_dir).withColumn(
         "legs", F.when(user % 19 == 0, F.slice("legs", 1, 0)).otherwise(F.col("legs"))
     )

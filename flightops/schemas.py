@@ -76,6 +76,13 @@ HISTORY_DESCRIPTIONS = {
     "EVENT_TYPE_WORKFLOW_EXECUTION_TERMINATED": "Workflow execution terminated",
 }
 SIGNALED_TYPE = "EVENT_TYPE_WORKFLOW_EXECUTION_SIGNALED"
+FLIGHT_STARTED_TYPE = "EVENT_TYPE_WORKFLOW_EXECUTION_STARTED"
+FLIGHT_ENDED_TYPE = "EVENT_TYPE_WORKFLOW_EXECUTION_COMPLETED"
+TIMER_TYPES = ("EVENT_TYPE_TIMER_STARTED", "EVENT_TYPE_TIMER_FIRED")
+LEG_STARTED_TYPE = "EVENT_TYPE_CHILD_WORKFLOW_EXECUTION_STARTED"
+LEG_ENDED_TYPE = "EVENT_TYPE_CHILD_WORKFLOW_EXECUTION_COMPLETED"
+# In the order in which events of the same time stand.
+DOMAIN_EVENT_TYPES = (FLIGHT_STARTED_TYPE, SIGNALED_TYPE, FLIGHT_ENDED_TYPE, LEG_STARTED_TYPE, LEG_ENDED_TYPE)
 SIGNALED_DESCRIPTION = "Signal received: "
 
 HISTORY_CATEGORIES = {

@@ -85,7 +85,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             if row.kind == "start" and kept["legs"] is None:
                 kept["legs"] = _begin(row.ts_us, json.loads(row.legs), int(row.seq))
             elif row.kind == "cancel":
-                kept["cancel"] = row.ts_us if kept["cancel"] is None else min(kept["cancel"], row.ts_us)
+                kept["waiting"].append([None, row.ts_us, row.seq, None, None])
             elif row.kind == "signal":
                 value = row.gate if row.signal == GATE else int(row.delay_minutes) if row.signal == DELAY else None
                 kept["waiting"].append([row.flight_key, row.ts_us, row.seq, row.signal, value])
@@ -94,15 +94,14 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     watermark = state.getCurrentWatermarkMs() * 1000
     if kept["legs"] is None:
         kept["waiting"] = [w for w in kept["waiting"] if w[1] > watermark]
-        waiting = [w[1] for w in kept["waiting"]]
-        if kept["cancel"] is not None and kept["cancel"] > watermark:
-            waiting.append(kept["cancel"])
-        due = min(waiting, default=None)
+        due = min((w[1] for w in kept["waiting"]), default=None)
     else:
         legs = kept["legs"]
         by_key = {leg["flight_key"]: leg for leg in legs}
         for leg_key, ts, seq, signal, value in kept["waiting"]:
-            if leg_key in by_key:
+            if leg_key is None and ts >= legs[0]["fold"]["entered"][0]:
+                kept["cancel"] = ts if kept["cancel"] is None else min(kept["cancel"], ts)
+            elif leg_key in by_key:
                 folding.apply_signal(by_key[leg_key]["fold"], ts, seq, signal, value)
         kept["waiting"] = []
         due, stopped = None, False

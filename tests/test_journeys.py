@@ -48,7 +48,7 @@ def test_cancelled_leg_cancels_the_rest(spark):
     assert index == 1
 
 
-@pytest.mark.parametrize(("minutes", "completed"), [(-1, 0), (0, 0), (7, 1), (LEG, 1), (LEG + 1, 2), (100, 3)])
+@pytest.mark.parametrize(("minutes", "completed"), [(-1, 3), (0, 0), (7, 1), (LEG, 1), (LEG + 1, 2), (100, 3)])
 def test_journey_cancellation_spares_the_leg_under_way(spark, minutes, completed):
     legs, index = _run(spark, LEGS, cancels=[r.at(minutes)])
     assert [leg.current_state for leg in legs] == ["COMPLETED"] * completed + ["CANCELLED"] * (3 - completed)
@@ -103,3 +103,12 @@ def test_cancellation_of_another_journey_does_nothing(spark):
     states = journeys.journey_execution(scheduled, r.signals(spark), other).select("current_state").distinct()
     assert [s.current_state for s in states.collect()] == ["COMPLETED"]
     assert scheduled.filter(F.col("journey_key") == "journey-J").count() == 3
+
+
+def test_a_cancellation_before_the_start_is_rejected_and_hides_no_later_one(spark):
+    scheduled = journeys.journey_schedule(journey_legs(_journeys(spark, ("J", LEGS))))
+    sent = spark.createDataFrame([("J", "early", r.at(-1)), ("J", "late", r.at(LEG + 1)), ("K", "x", r.at(0))], CANCELS)
+    execution = journeys.journey_execution(scheduled, r.signals(spark), sent).orderBy("leg").collect()
+    assert [leg.current_state for leg in execution] == ["COMPLETED", "COMPLETED", "CANCELLED"]
+    rejected = journeys.rejected_journey_signals(sent, scheduled).orderBy("journey_id").collect()
+    assert [(s.journey_id, s.reason, s.problem) for s in rejected] == [("J", "early", "before_start"), ("K", "x", "unknown_journey")]

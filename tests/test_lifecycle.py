@@ -184,19 +184,15 @@ def test_audit_trail_is_rebuilt_in_order(spark):
     rebuilt = history.build_history(lifecycle.transitions_with_context(flights, signals), accepted)
     trail = history.audit_trail(rebuilt, r.key("AA1")).collect()
     assert history.audit_trail(rebuilt, "flight-XX").count() == 0
-    assert history.build_audit_trail(lifecycle.transitions_with_context(flights, signals), accepted).count() == 8
-    assert [e.event_id for e in trail] == list(range(1, 9))
+    assert history.build_audit_trail(lifecycle.transitions_with_context(flights, signals), accepted).count() == 4
+    assert [e.event_id for e in trail] == list(range(1, 5))
     assert [e.description for e in trail] == [
         "Workflow execution started",
-        "Timer started (state transition delay)",
         "Signal received: announceDelay",
-        "Timer fired (state transition triggered)",
-        "Timer started (state transition delay)",
         "Signal received: cancelFlight",
-        "Timer fired (state transition triggered)",
         "Workflow execution completed successfully",
     ]
-    assert [e.category for e in trail[:3]] == ["lifecycle", "timer", "signal"]
+    assert [e.category for e in trail[:3]] == ["lifecycle", "signal", "signal"]
 
 
 def test_history_is_newest_first(spark):
@@ -210,17 +206,34 @@ def test_history_is_newest_first(spark):
     assert {t.flight_number: t.to_state for t in latest} == {"AA1": "COMPLETED", "AA2": "CANCELLED"}
 
 
-def test_export_pages_keep_every_event(spark):
+def test_export_keeps_every_event_as_a_row(spark):
     audit = spark.range(1, 26).selectExpr(
         "'flight-AA-1-2026-01-27' as flight_key", "id as event_id", "'T' as event_type", "'' as timestamp",
         "'' as description", "'other' as category",
     )
-    pages = history.export_history(audit, "2026-01-26 14:35:00", page_size=10).orderBy("page").collect()
-    assert [p.event_count for p in pages] == [25, 25, 25]
-    assert [len(p.history) for p in pages] == [10, 10, 5]
-    assert [e.event_id for p in pages for e in p.history] == list(range(1, 26))
-    assert pages[0].flight_number == "AA-1"
-    assert history.export_history(audit, "2026-01-26 14:35:00").count() == 1
+    rows = history.export_history(audit, "2026-01-26 14:35:00").orderBy("event_id").collect()
+    assert [e.event_id for e in rows] == list(range(1, 26))
+    assert rows[0].flight_number == "AA-1"
+    envelope = history.export_envelopes(audit, "2026-01-26 14:35:00").collect()
+    assert [(e.flight_number, e.event_count) for e in envelope] == [("AA-1", 25)]
+
+
+def test_lookup_of_several_flights(spark):
+    flights = r.flights(spark, r.flight("AA1"), r.flight("AA2"), r.flight("AA3"))
+    moves = lifecycle.transitions_with_context(flights, r.signals(spark))
+    wanted = spark.createDataFrame([("AA1",), ("AA3",), ("AA3",), ("XX",)], "flight_number string")
+    found = history.transitions_for_flights(moves, wanted).coalesce(1).filter("flight_number = 'AA3'").collect()
+    assert [t.to_state for t in found] == list(reversed(STATES[:6]))
+    assert history.transitions_for_flights(moves, wanted).count() == 12
+    other_day = wanted.withColumn("flight_date", F.lit("2020-01-01").cast("date"))
+    assert history.transitions_for_flights(moves, other_day).count() == 0
+
+
+def test_past_delays_know_only_the_days_before(spark):
+    rows = [("A", "B", f"2026-01-0{d}", delay) for d, delay in ((1, 10), (1, 20), (2, 60), (4, 0))]
+    outcomes = spark.createDataFrame(rows, "departure_station string, arrival_station string, flight_date string, delay int")
+    past = analytics.past_delay_by_route(outcomes).orderBy("flight_date").collect()
+    assert [p.route_avg_delay for p in past] == [None, 15.0, 30.0]
 
 
 def test_time_in_state(spark):

@@ -143,7 +143,7 @@ def test_delay_windows_stream_equals_batch(spark, tables, tmp_path):
 
 
 def test_route_history_joins_a_stream(spark, tables, tmp_path):
-    means = analytics.avg_delay_by_route(tables.outcomes)
+    means = analytics.past_delay_by_route(tables.outcomes)
     tables.events.write.parquet(f"{tmp_path}/e")
     stream = spark.readStream.schema(tables.events.schema).parquet(f"{tmp_path}/e")
     streamed = _to_memory(spark, enrich.history_enriched_events(stream, tables.flights, means), "with_route")
