@@ -26,6 +26,7 @@ HEADLINE = (
     "state_changes",
     "transition_order_violations",
     "journey_execution",
+    "journey_transitions",
     "connection_slack",
     "active_flights",
     "audit_trail",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightops.functions.times import plus_seconds
-from flightops.operators.lifecycle import fold_flights
+from flightops.operators.lifecycle import fold_flights, transitions_of_fold
 from flightops.schemas import DEFAULT_DELAY, PHASES, TURNAROUND_SECONDS
 
 
@@ -149,6 +149,17 @@ def journey_execution(scheduled: DataFrame, signals: DataFrame, journey_signals:
     )
 
 
+def journey_transitions(scheduled: DataFrame, signals: DataFrame, execution: DataFrame) -> DataFrame:
+    """History rows of every leg that ran, at journey time and with the aircraft it was handed.
+
+    `signals` are in journey time. A leg has at most seven rows, so the join moves few.
+    """
+    legs = scheduled.withColumn("start_ts", F.col("leg_start"))
+    rows = transitions_of_fold(fold_flights(legs, signals)).drop("aircraft")
+    ran = execution.filter(F.col("leg_start").isNotNull()).select("journey_id", "leg", "flight_key", "aircraft")
+    return rows.join(ran, "flight_key")
+
+
 def journey_status(execution: DataFrame) -> DataFrame:
     """One row per journey with its legs in order."""
     leg = F.struct("leg", "flight_number", "current_state", "gate", "delay", "aircraft")

@@ -400,6 +400,24 @@ TEXTS: dict[str, str] = {
     "journey_sizes": "SELECT journey_id, CAST(count(*) AS INTEGER) AS n_legs FROM legs GROUP BY 1",
     "journey_schedule": "SELECT journey_id, leg, flight_key, leg_start FROM planned",
     "journey_execution": "SELECT * FROM execution",
+    "journey_transitions": f"""
+        SELECT e.flight_key || ':' || e.to_state AS id, e.flight_key, h.flight_number, h.flight_date, e.from_state, e.to_state,
+               e.timestamp,
+               coalesce((SELECT arg_max(s.gate, s.event_ts) FROM jsig s
+                    WHERE s.flight_key = e.flight_key AND s.signal = 'changeGate'
+                          AND s.event_ts BETWEEN h.leg_start AND e.timestamp), h.gate, '') AS gate,
+               coalesce((SELECT arg_max(s.delay_minutes, s.event_ts) FROM jsig s
+                    WHERE s.flight_key = e.flight_key AND s.signal = 'announceDelay'
+                          AND s.event_ts BETWEEN h.leg_start AND e.timestamp), 0) AS delay,
+               'STATE_TRANSITION' AS event_type,
+               'Flight transitioned from ' || coalesce(e.from_state, 'null') || ' to ' || e.to_state AS event_details,
+               h.journey_id, h.leg, h.flown AS aircraft
+        FROM (SELECT *, lag(to_state) OVER (PARTITION BY flight_key ORDER BY ordinal) AS from_state
+              FROM (SELECT t.flight_key, t.ordinal, t.entered_at AS timestamp,
+                           CASE WHEN t.ordinal = c.ordinal THEN 'CANCELLED' ELSE {_list(STATES)}[t.ordinal + 1] END AS to_state
+                    FROM jtime t LEFT JOIN jcut c ON c.flight_key = t.flight_key
+                    WHERE c.ordinal IS NULL OR t.ordinal <= c.ordinal)) e
+             JOIN handed h ON h.flight_key = e.flight_key WHERE h.ran""",
     "cascade_cancellations": """
         SELECT journey_id, leg, flight_key, own_state, current_state, cancelled_by FROM run""",
     "rejected_journey_signals": """

@@ -296,6 +296,11 @@ def aircraft_handoff(t):
     return journeys.aircraft_handoff(t.cascaded).select("journey_id", "leg", "flight_key", "aircraft")
 
 
+@query
+def journey_transitions(t):
+    return journeys.journey_transitions(t.scheduled, t.leg_signals, t.execution)
+
+
 @query
 def journey_status(t):
     leg = F.col("l")

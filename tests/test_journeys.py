@@ -112,3 +112,15 @@ def test_a_cancellation_before_the_start_is_rejected_and_hides_no_later_one(spar
     assert [leg.current_state for leg in execution] == ["COMPLETED", "COMPLETED", "CANCELLED"]
     rejected = journeys.rejected_journey_signals(sent, scheduled).orderBy("journey_id").collect()
     assert [(s.journey_id, s.reason, s.problem) for s in rejected] == [("J", "early", "before_start"), ("K", "x", "unknown_journey")]
+
+
+def test_legs_that_ran_have_history_rows(spark):
+    scheduled = journeys.journey_schedule(journey_legs(_journeys(spark, ("J", LEGS))))
+    signals = r.signals(spark, r.gate("AA100", 3, "C1", 1), r.cancel("AA200", LEG + 2, seq=2))
+    execution = journeys.journey_execution(scheduled, signals, spark.createDataFrame([], CANCELS))
+    rows = journeys.journey_transitions(scheduled, signals, execution).orderBy("leg", "timestamp").collect()
+    assert [t.leg for t in rows] == [0] * 6 + [1] * 3
+    assert [t.gate for t in rows[:4]] == ["A1", "A1", "C1", "C1"]
+    assert [(t.to_state, t.timestamp) for t in rows[6:]] == [
+        ("SCHEDULED", r.at(LEG)), ("BOARDING", r.at(LEG + 1)), ("CANCELLED", r.at(LEG + 3)),
+    ]
