@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 from flightops.functions.times import plus_seconds
 from flightops.operators.lifecycle import fold_flights, transitions_of_fold
 from flightops.schemas import DEFAULT_DELAY, PHASES, TURNAROUND_SECONDS
+from flightops.sources.requests import legs_in_journey
 
 
 def _legs_so_far():
     return Window.partitionBy("journey_id").orderBy("leg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def journey_links(legs: DataFrame) -> DataFrame:
+def journey_links(journeys: DataFrame) -> DataFrame:
     """Each leg with the flight numbers before and after it."""
-    order = Window.partitionBy("journey_id").orderBy("leg")
-    return legs.withColumns(
-        {
-            "previous_flight_number": F.lag("flight_number").over(order),
-            "next_flight_number": F.lead("flight_number").over(order),
-        }
+    return (
+        legs_in_journey(journeys)
+        .withColumns(
+            {
+                "previous_flight_number": F.get("legs", F.col("leg") - 1)["flight_number"],
+                "next_flight_number": F.get("legs", F.col("leg") + 1)["flight_number"],
+            }
+        )
+        .drop("legs")
     )
 
 
@@ -34,16 +38,20 @@ def journey_sizes(journeys: DataFrame) -> DataFrame:
     return journeys.select("journey_id", F.coalesce(F.size("legs"), F.lit(0)).alias("n_legs"))
 
 
-def journey_schedule(legs: DataFrame, turnaround_seconds: int = TURNAROUND_SECONDS) -> DataFrame:
+def journey_schedule(journeys: DataFrame, turnaround_seconds: int = TURNAROUND_SECONDS) -> DataFrame:
     """Each leg with its start: that of the journey plus the earlier legs and turnarounds.
 
     Legs before a cancelled one always run in full, so the sum holds for every leg that runs.
     """
-    length = F.aggregate("phase_seconds", F.lit(0).cast("bigint"), lambda acc, x: acc + x) + turnaround_seconds
-    earlier = Window.partitionBy("journey_id").orderBy("leg").rowsBetween(Window.unboundedPreceding, -1)
-    journey_start = F.first("start_ts").over(_legs_so_far())
-    offset = F.coalesce(F.sum(length).over(earlier), F.lit(0))
-    return legs.withColumn("leg_start", plus_seconds(journey_start, offset))
+    none = F.lit(0).cast("bigint")
+
+    def length(leg: Column) -> Column:
+        return F.aggregate(leg["phase_seconds"], none, lambda acc, x: acc + x) + turnaround_seconds
+
+    earlier = F.slice("legs", F.lit(1), F.col("leg"))
+    offset = F.aggregate(earlier, none, lambda acc, leg: acc + length(leg))
+    start = plus_seconds(F.get("legs", F.lit(0))["start_ts"], offset)
+    return legs_in_journey(journeys).withColumn("leg_start", start).drop("legs")
 
 
 def rebase_signals(signals: DataFrame, scheduled: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ class Tables:
 
     @cached_property
     def scheduled(self) -> DataFrame:
-        return journeys.journey_schedule(self.legs)
+        return journeys.journey_schedule(self.view("journeys"))
 
     @cached_property
     def leg_signals(self) -> DataFrame:
@@ -261,7 +261,7 @@ def transition_order_violations(t):
 
 @query
 def journey_links(t):
-    return journeys.journey_links(t.legs).select(
+    return journeys.journey_links(t.view("journeys")).select(
         "journey_id", "leg", "flight_number", "previous_flight_number", "next_flight_number", "flight_key"
     )
 

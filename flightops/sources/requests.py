@@ -28,10 +28,16 @@ def flights_from_requests(requests: DataFrame) -> DataFrame:
 
 def journey_legs(journeys: DataFrame) -> DataFrame:
     """One row per leg of each nested journey, `leg` counting from 0."""
-    legs = journeys.select("journey_id", F.posexplode("legs").alias("leg", "flight"))
+    return legs_in_journey(journeys).drop("legs")
+
+
+def legs_in_journey(journeys: DataFrame) -> DataFrame:
+    """The same with all legs of the journey at hand in `legs`, so that neighbours need no shuffle."""
+    legs = journeys.select("journey_id", "legs", F.posexplode("legs").alias("leg", "flight"))
     return legs.select(
         "journey_id",
         journey_key(F.col("journey_id")).alias("journey_key"),
         "leg",
         "flight.*",
+        "legs",
     ).withColumn("flight_key", flight_key(F.col("flight_number"), F.col("flight_date")))

@@ -5,7 +5,6 @@ import rows as r
 from pyspark.sql import functions as F
 
 from flightops.operators import journeys
-from flightops.sources.requests import journey_legs
 
 CANCELS = "journey_id string, reason string, event_ts timestamp_ntz"
 # A leg takes 15 minutes, then 1 second turnaround.
@@ -22,7 +21,7 @@ def _journeys(spark, *journeys_: tuple):
 
 
 def _run(spark, legs, signals=(), cancels=()):
-    scheduled = journeys.journey_schedule(journey_legs(_journeys(spark, ("J", legs))))
+    scheduled = journeys.journey_schedule(_journeys(spark, ("J", legs)))
     cancelled = spark.createDataFrame([("J", "Weather", ts) for ts in cancels], CANCELS)
     execution = journeys.journey_execution(scheduled, r.signals(spark, *signals), cancelled)
     return execution.orderBy("leg").collect(), journeys.current_leg_index(execution).first().current_leg_index
@@ -79,12 +78,12 @@ def test_signals_reach_the_leg_at_its_own_time(spark):
 
 def test_links_sizes_and_status(spark):
     nested = _journeys(spark, ("J", LEGS), ("ONE", [r.flight("AA9")]), ("EMPTY", []))
-    links = journeys.journey_links(journey_legs(nested)).filter("journey_id = 'J'").orderBy("leg").collect()
+    links = journeys.journey_links(nested).filter("journey_id = 'J'").orderBy("leg").collect()
     assert [(x.previous_flight_number, x.next_flight_number) for x in links] == [
         (None, "AA200"), ("AA100", "AA300"), ("AA200", None),
     ]
     assert {x.journey_id: x.n_legs for x in journeys.journey_sizes(nested).collect()} == {"J": 3, "ONE": 1, "EMPTY": 0}
-    scheduled = journeys.journey_schedule(journey_legs(nested))
+    scheduled = journeys.journey_schedule(nested)
     none = spark.createDataFrame([], CANCELS)
     status = journeys.journey_status(journeys.journey_execution(scheduled, r.signals(spark), none))
     by_id = {s.journey_id: [leg.flight_number for leg in s.legs] for s in status.collect()}
@@ -92,13 +91,13 @@ def test_links_sizes_and_status(spark):
 
 
 def test_turnaround_is_a_parameter(spark):
-    scheduled = journeys.journey_schedule(journey_legs(_journeys(spark, ("J", LEGS))), turnaround_seconds=60)
+    scheduled = journeys.journey_schedule(_journeys(spark, ("J", LEGS)), turnaround_seconds=60)
     starts = [leg.leg_start for leg in scheduled.orderBy("leg").collect()]
     assert starts == [r.at(0), r.at(16), r.at(32)]
 
 
 def test_cancellation_of_another_journey_does_nothing(spark):
-    scheduled = journeys.journey_schedule(journey_legs(_journeys(spark, ("J", LEGS))))
+    scheduled = journeys.journey_schedule(_journeys(spark, ("J", LEGS)))
     other = spark.createDataFrame([("K", "x", r.at(0))], CANCELS)
     states = journeys.journey_execution(scheduled, r.signals(spark), other).select("current_state").distinct()
     assert [s.current_state for s in states.collect()] == ["COMPLETED"]
@@ -106,7 +105,7 @@ def test_cancellation_of_another_journey_does_nothing(spark):
 
 
 def test_a_cancellation_before_the_start_is_rejected_and_hides_no_later_one(spark):
-    scheduled = journeys.journey_schedule(journey_legs(_journeys(spark, ("J", LEGS))))
+    scheduled = journeys.journey_schedule(_journeys(spark, ("J", LEGS)))
     sent = spark.createDataFrame([("J", "early", r.at(-1)), ("J", "late", r.at(LEG + 1)), ("K", "x", r.at(0))], CANCELS)
     execution = journeys.journey_execution(scheduled, r.signals(spark), sent).orderBy("leg").collect()
     assert [leg.current_state for leg in execution] == ["COMPLETED", "COMPLETED", "CANCELLED"]
@@ -115,7 +114,7 @@ def test_a_cancellation_before_the_start_is_rejected_and_hides_no_later_one(spar
 
 
 def test_legs_that_ran_have_history_rows(spark):
-    scheduled = journeys.journey_schedule(journey_legs(_journeys(spark, ("J", LEGS))))
+    scheduled = journeys.journey_schedule(_journeys(spark, ("J", LEGS)))
     signals = r.signals(spark, r.gate("AA100", 3, "C1", 1), r.cancel("AA200", LEG + 2, seq=2))
     execution = journeys.journey_execution(scheduled, signals, spark.createDataFrame([], CANCELS))
     rows = journeys.journey_transitions(scheduled, signals, execution).orderBy("leg", "timestamp").collect()
@@ -124,3 +123,11 @@ def test_legs_that_ran_have_history_rows(spark):
     assert [(t.to_state, t.timestamp) for t in rows[6:]] == [
         ("SCHEDULED", r.at(LEG)), ("BOARDING", r.at(LEG + 1)), ("CANCELLED", r.at(LEG + 3)),
     ]
+
+
+def test_links_and_schedule_need_no_shuffle(spark):
+    nested = _journeys(spark, ("J", LEGS))
+    for frame in (journeys.journey_links(nested), journeys.journey_schedule(nested)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+        assert "Exchange" not in plan
