@@ -29,6 +29,7 @@ from flightops.schemas import (
     LEG_ENDED_TYPE,
     LEG_STARTED_TYPE,
     PHASES,
+    REQUEST_CHANNEL,
     SIGNALED_TYPE,
     STARTED_MESSAGE,
     STATES,
@@ -135,11 +136,20 @@ def build_audit_trail(transitions: DataFrame, accepted: DataFrame, execution: Da
     return audit_trail(build_history(transitions, accepted, execution))
 
 
+def requested(signals: DataFrame) -> DataFrame:
+    """Signals sent by a request; those from the topic change a flight but announce nothing themselves.
+
+    A table without the column `channel` holds requests only.
+    """
+    return signals.filter(F.col("channel") == REQUEST_CHANNEL) if "channel" in signals.columns else signals
+
+
 def state_changes(transitions: DataFrame, accepted: DataFrame, flights: DataFrame) -> DataFrame:
     """Messages about state: those of the lifecycle and those sent at once for each request.
 
-    A delay or gate request reports the current state twice, a cancellation request reports
-    CANCELLED before the flight itself gets there. `origin` tells the two kinds apart.
+    Values in force count all accepted signals; only requests report (`requested`). A delay or gate
+    request reports the current state twice, a cancellation request reports CANCELLED before the
+    flight itself gets there. `origin` tells the two kinds apart.
     """
     of_flight = transitions.select(
         "flight_key",
@@ -162,7 +172,8 @@ def state_changes(transitions: DataFrame, accepted: DataFrame, flights: DataFram
     current = F.get(F.array(*[F.lit(s) for s in STATES[:PHASES]]), passed)
     facts = flights.select("flight_key", "flight_number", F.col("gate").alias("own_gate"), "start_ts", "phase_seconds")
     of_request = (
-        known.join(facts, "flight_key")
+        requested(known)
+        .join(facts, "flight_key")
         .withColumn("current", current)
         .select(
             "flight_key",
@@ -187,7 +198,8 @@ def live_state_events(flights: DataFrame, accepted: DataFrame) -> DataFrame:
         epoch_millis(F.col("start_ts")).alias("timestamp"),
     )
     cancelled = (
-        accepted.filter(F.col("signal") == CANCEL)
+        requested(accepted)
+        .filter(F.col("signal") == CANCEL)
         .join(flights.select("flight_key", "flight_number"), "flight_key")
         .select(
             "flight_number",

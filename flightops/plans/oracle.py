@@ -268,13 +268,15 @@ VIEWS: dict[str, str] = {
              JOIN (SELECT s.event_seq, arg_max(t.state, t.ordinal) AS state FROM accepted s
                    JOIN timeline t ON t.flight_key = s.flight_key
                         AND (t.entered_at < s.event_ts OR t.ordinal = 0) GROUP BY 1) st
-               ON st.event_seq = a.event_seq""",
+               ON st.event_seq = a.event_seq
+        WHERE a.event_seq % 2 = 0""",
     "feed": """
         SELECT flight_number, 'SCHEDULED' AS state, 'Flight workflow started' AS message, epoch_us(start_ts) // 1000 AS timestamp
         FROM flights
         UNION ALL
         SELECT f.flight_number, 'CANCELLED', 'Flight cancelled: ' || a.reason, epoch_us(a.event_ts) // 1000
-        FROM accepted a JOIN flights f ON f.flight_key = a.flight_key WHERE a.signal = 'cancelFlight'""",
+        FROM accepted a JOIN flights f ON f.flight_key = a.flight_key WHERE a.signal = 'cancelFlight'
+              AND a.event_seq % 2 = 0""",
     "rebuilt": """
         SELECT flight_key, timestamp AS ts, 0 AS r, 0 AS seq, 'EVENT_TYPE_WORKFLOW_EXECUTION_STARTED' AS event_type, NULL AS name
         FROM moves WHERE ordinal = 0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flightops.functions.keys import default_flight_date
 from flightops.operators import analytics, enrich, history, journeys, lifecycle, signals
 from flightops.plans import views
+from flightops.schemas import REQUEST_CHANNEL
 from flightops.session import shared_dir, tune
 from flightops.sources import events, requests, stores
 
@@ -91,7 +92,13 @@ class Tables:
 
     @cached_property
     def state_changes(self) -> DataFrame:
-        return history.state_changes(self.transitions, self.accepted, self.flights)
+        return history.state_changes(self.transitions, self.accepted_by_channel, self.flights)
+
+    @cached_property
+    def accepted_by_channel(self) -> DataFrame:
+        """Every other event came as a request, the rest from the topic."""
+        channel = F.when(F.col("event_seq") % 2 == 0, REQUEST_CHANNEL).otherwise("topic")
+        return self.accepted.withColumn("channel", channel)
 
     @cached_property
     def wanted(self) -> DataFrame:
@@ -154,7 +161,7 @@ def write_state_changes(t):
 
 @query
 def live_state_events(t):
-    return history.live_state_events(t.flights, t.accepted)
+    return history.live_state_events(t.flights, t.accepted_by_channel)
 
 
 @query
@@ -378,7 +385,7 @@ def state_changes(t):
 
 @query
 def recent_events(t):
-    return history.recent_events(history.live_state_events(t.flights, t.accepted))
+    return history.recent_events(history.live_state_events(t.flights, t.accepted_by_channel))
 
 
 @query

@@ -75,6 +75,7 @@ HISTORY_DESCRIPTIONS = {
     "EVENT_TYPE_WORKFLOW_EXECUTION_CANCELED": "Workflow execution canceled",
     "EVENT_TYPE_WORKFLOW_EXECUTION_TERMINATED": "Workflow execution terminated",
 }
+REQUEST_CHANNEL = "request"
 SIGNALED_TYPE = "EVENT_TYPE_WORKFLOW_EXECUTION_SIGNALED"
 FLIGHT_STARTED_TYPE = "EVENT_TYPE_WORKFLOW_EXECUTION_STARTED"
 FLIGHT_ENDED_TYPE = "EVENT_TYPE_WORKFLOW_EXECUTION_COMPLETED"

@@ -218,6 +218,17 @@ def test_export_keeps_every_event_as_a_row(spark):
     assert [(e.flight_number, e.event_count) for e in envelope] == [("AA-1", 25)]
 
 
+def test_topic_signals_change_values_but_send_nothing(spark):
+    flights = r.flights(spark, r.flight("AA1"))
+    signals = r.signals(spark, r.delay("AA1", 0.5, 45, 1), r.gate("AA1", 2, "C1", 2), r.cancel("AA1", 4, seq=3))
+    accepted = sg.accepted_signals(signals, lifecycle.flights_with_end(flights, signals))
+    by_channel = accepted.withColumn("channel", F.when(F.col("event_seq") == 2, "request").otherwise("topic"))
+    moves = lifecycle.transitions_with_context(flights, signals)
+    sent = history.state_changes(moves, by_channel, flights).filter("origin = 'operator'").collect()
+    assert [(c.new_state, c.gate, c.delay) for c in sent] == [("BOARDING", "C1", 45)]
+    assert history.live_state_events(flights, by_channel).count() == 1
+
+
 def test_lookup_of_several_flights(spark):
     flights = r.flights(spark, r.flight("AA1"), r.flight("AA2"), r.flight("AA3"))
     moves = lifecycle.transitions_with_context(flights, r.signals(spark))
