@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flightops.llm.common import map_texts, small, staged, text_hash
+from flightops.operators.skew import behind_own_exchange
 
 WINDOW = 16  # bytes in the hash
 RADIUS = 16  # places on either side with larger hashes; a power of two
@@ -87,6 +88,7 @@ def repeated_passages(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFr
     chunks = chunks.select("row", "doc_id", "at", F.col("chunk.digests").alias("digest"), F.col("chunk.again").alias("again"))
     owners = chunks.filter("not again").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     owners = owners.filter("first < last or (first is not null and n > 1)").select("digest", "first")
+    owners = behind_own_exchange(owners, "digest")  # so that a chunk that many documents share can be split
     met = chunks.join(owners, "digest", "left").filter("again or (first is not null and (doc_id is null or doc_id > first))")
     met = staged(met.select("row", "at", F.coalesce("first", "doc_id").alias("first")), "repeated")
 
