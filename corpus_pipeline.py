@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops.llm import decontaminate, language, mixing, near_dedup, token_output
-from flightops.llm.common import session_for_texts, staged, table, text_hash
+from flightops.llm.common import session_for_texts, small, staged, table, text_hash
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 LEAST_SHARE = 1 / 3
+BROADCAST_ROWS = 2_000_000  # ids and hashes, 16 bytes each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,28 +29,42 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     session_for_texts(spark)
     model = language.train(docs.filter(~language.held_out()))
-    found = language.predict(docs, model, tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found = language.predict(docs, model, tuple(docs.columns), ("__language", "__share"))
+    return found.filter((F.col("__language") != language.UNDETERMINED) & (F.col("__share") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id and text are not in gone (doc_id, text_key)."""
+    gone = small(gone.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")), BROADCAST_ROWS)
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (text_hash() == F.col("__key"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of five-word near duplicates.
 
-    Of rows that repeat the kept id, those with the text first in hash order stay, once.
+    Where several rows have that id, the row whose text has the smallest hash stays, once.
     """
     session_for_texts(spark)
-    groups = near_dedup.near_duplicates(docs, size=5)
-    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    groups = staged(near_dedup.near_duplicates(docs, size=5), "groups")
+    kept = groups.filter("kept and doc_id is not null").groupBy("doc_id")
+    kept = kept.agg(F.count("*").alias("rows"), F.min("text_key").alias("first"))
+    several = staged(kept.filter("rows > 1"), "several")
+    again = groups.join(several, "doc_id", "left_semi")
+    gone = groups.filter(~F.col("kept")).unionByName(again).select("doc_id", "text_key").distinct()
+    rest = without(docs, staged(gone, "gone"))
+    if not several.limit(1).count():
+        return rest
+    once = docs.join(several.select(F.col("doc_id").alias("__doc"), "first"), (F.col("doc_id") == F.col("__doc")) & (text_hash() == F.col("first")))
+    return rest.unionByName(once.select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the rows that hold no window of ten words of a benchmark item."""
     session_for_texts(spark)
     runs = staged(decontaminate.windows(table(spark, sf_dir, "benchmark")), "runs")
-    hit = decontaminate.occurrences(docs, runs).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (text_hash() == F.col("__key"))
-    return docs.join(staged(hit, "hit"), same, "left_anti").select(*docs.columns)
+    hit = decontaminate.occurrences(docs, runs).select("doc_id", "text_key").distinct()
+    return without(docs, staged(hit, "hit"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flightops.llm.common import staged, text_hash
+from flightops.llm.common import small, staged, text_hash
 
 WINDOW = 10
 SHINGLE = 5
@@ -60,10 +60,6 @@ def _document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return rows.withColumn("h", F.explode(F.array(*fits))).filter("h is not null")
 
 
-def _small(rows: DataFrame, limit: int) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= limit else rows
-
-
 def _there() -> Column:
     return F.array_join(F.slice("words", F.col("start") + 1, F.col("len")), " ") == F.col("window")
 
@@ -80,7 +76,7 @@ def occurrences(docs: DataFrame, runs: DataFrame, broadcast_rows: int = BROADCAS
     parts = staged(parts.select("window", "len", "off", h.alias("h")), "windows")
 
     found = _document_shingles(docs, sizes)
-    uses = found.select("h").join(_small(parts.select("h").distinct(), 5 * broadcast_rows), "h")
+    uses = found.select("h").join(small(parts.select("h").distinct(), 5 * broadcast_rows), "h")
     uses = staged(uses.groupBy("h").agg(F.count("*").alias("uses")), "uses")
     ranked = parts.join(uses, "h", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
     rank = F.row_number().over(W.partitionBy("window").orderBy("uses", "h", "off"))
@@ -116,7 +112,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = WINDOW, broad
     new = F.greatest(F.lit(0), F.col("start") + F.col("len") - F.greatest("start", reach))
     covered = spans.withColumn("new", new).groupBy(*KEY).agg(F.sum("new").alias("n_hit"))
 
-    pairs = hits.select(*KEY, "window").distinct().join(_small(runs.select("item_id", "window"), broadcast_rows), "window")
+    pairs = hits.select(*KEY, "window").distinct().join(small(runs.select("item_id", "window"), broadcast_rows), "window")
     pairs = pairs.filter("item_id is not null").select(*KEY, F.col("item_id").cast("string").alias("item")).distinct()
     names = F.array_join(F.sort_array(F.collect_list("item")), ",")
     listed = pairs.groupBy(*KEY).agg(F.count("*").alias("n_items"), names.alias("names"))

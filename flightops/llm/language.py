@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightops.llm.common import batches
+from flightops.llm.common import map_texts, pieces
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -53,20 +54,24 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """(lang, bucket, n) over every row of docs (text, lang) that has both."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for frame in batches(frames):
-            for lang, rows in frame.groupby("lang", sort=False):
+        for batch, texts in pieces(batches):
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, rows in by_lang.items():
                 if lang not in seen and len(seen) >= MAX_LANGUAGES:
                     raise ValueError(f"more than {MAX_LANGUAGES} languages")
-                grams, _ = _trigrams(rows["text"].tolist())
+                grams, _ = _trigrams(rows)
                 seen[lang] = seen.get(lang, 0) + np.bincount(grams, minlength=BUCKETS)
         for lang, n in seen.items():
             at = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "bucket": at.astype("int32"), "n": n[at]})
+            columns = [pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
 
     known = docs.select("lang", "text").filter("lang is not null and text is not null")
-    rows = known.mapInPandas(count, "lang string, bucket int, n long")
+    rows = known.mapInArrow(count, "lang string, bucket int, n long")
     return rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -127,24 +132,19 @@ def train(docs: DataFrame) -> Model:
     return Model(trigram_counts(docs).toPandas())  # at most MAX_LANGUAGES * BUCKETS rows
 
 
-def predict(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`extra` columns of docs with lang_pred and score, one row for each row, repeated ones too.
+def predict(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`extra` columns of docs with the prediction and its score, one row for each row, repeated ones too.
 
     A text that is null, empty or without letters gets `und` and 0. Equal shares go to the language
-    first in code point order. Columns of docs other than text and `extra` are not read.
+    first in code point order. Columns of docs other than text and `extra` are not read; `names` are the
+    two new columns' names, for tables that have columns of such a name.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*extra).schema.add("lang_pred", "string").add("score", "double")
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            found = sent.value.predict([None if t is None or t != t else t for t in frame["text"]])
-            out = frame[list(extra)].copy()
-            out["lang_pred"], out["score"] = [f[0] for f in found], [f[1] for f in found]
-            yield out
+    def rows(texts: list[str | None]) -> list[list]:
+        return list(map(list, zip(*sent.value.predict(texts), strict=True)))
 
-    own = [c for c in extra if c != "text"]
-    return docs.select(*own, "text").mapInPandas(rows, schema)
+    return map_texts(docs, list(extra), f"`{names[0]}` string, `{names[1]}` double", rows)
 
 
 def held_out() -> Column:

@@ -103,14 +103,24 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     Prefixes, endings, folders and numbers take turns, so that only the names tell the labels apart;
     there are twice as many ordinary names, so that an unknown one is let through.
     """
-    rows = []
-    for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)):
-        hosts = [*names, *(f"{a}-{names[(7 * i + 3) % len(names)]}" for i, a in enumerate(names))]
-        hosts += [a + names[(5 * i + 2) % len(names)] for i, a in enumerate(names)]
-        for i, name in enumerate(hosts):
-            host = f"{PREFIXES[i % 4]}{name}.example.{ENDINGS[i % 3]}"
-            rows.append((host, f"/{FOLDERS[i // 3 % 4]}/{(i + 1) * 7919 % 50000}{('', '/', '.html')[i % 3]}", label))
-    return spark.createDataFrame(rows, "host string, path string, label int")
+
+    def pick(values: Sequence[str], i: Column) -> Column:
+        return F.get(F.array(*map(F.lit, values)), F.pmod(i, F.lit(len(values))).cast("int"))
+
+    def urls(label: int, words: Sequence[str]) -> DataFrame:
+        n, i = len(words), F.col("i")
+        names = F.split(F.lit(" ".join(words)), " ")
+        rows = spark.range(1).select(F.posexplode(names).alias("i", "name"))
+        hosts = (F.col("name"), F.concat("name", F.lit("-"), pick(words, 7 * i + 3)), F.concat("name", pick(words, 5 * i + 2)))
+        forms = F.array(*[F.struct((i + k * n).alias("k"), h.alias("h")) for k, h in enumerate(hosts)])
+        rows = rows.select(F.inline(forms))
+        k = F.col("k")
+        host = F.concat(pick(PREFIXES, k), "h", F.lit(".example."), pick(ENDINGS, k))
+        number = F.pmod((k + 1) * 7919, F.lit(50_000)).cast("string")
+        path = F.concat(F.lit("/"), pick(FOLDERS, F.floor(k / 3)), F.lit("/"), number, pick(("", "/", ".html"), k))
+        return rows.select(host.alias("host"), path.alias("path"), F.lit(label).alias("label"))
+
+    return urls(1, BLOCKED_NAMES).unionByName(urls(0, ALLOWED_NAMES))
 
 
 def train(labelled: DataFrame, rows: int = LABELLED_ROWS) -> Model:
