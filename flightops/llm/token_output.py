@@ -16,6 +16,7 @@ a task that runs twice, or on an executor that is lost, leaves nothing that is r
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,11 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flightops.llm.common import batches
+from flightops.llm.common import pieces
 from flightops.session import shared_dir
 
 PARTS = "part int, n_docs long, n_tokens long"
-MAX_WORDS = 1_000_000  # entries kept in a worker's word table before it starts afresh
+MAX_WORDS = 500_000  # entries kept in a worker's word table before it starts afresh
 MARKS = ".,;:!?"
 SEPARATOR = "\0"
 LATIN_END = "\u0250"  # letters below it are in composed form and lower-cased one by one
@@ -86,18 +87,22 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        unique = set().union(*split)
-        missing = [w for w in unique if w not in self.words]
-        if len(self.words) + len(missing) > MAX_WORDS:
-            self.words, missing = {"": b""}, list(unique - {""})
+        get = self.words.get
+        found = [list(map(get, words)) for words in split]
+        unknown = [[i for i, ids in enumerate(known) if ids is None] for known in found]
+        missing = {words[i] for words, at in zip(split, unknown, strict=True) for i in at}
         if missing:
+            if len(self.words) + len(missing) > MAX_WORDS:
+                self.words = {"": b""}
             known = self.words
             bare = {self._bare(w) for w in missing} | set(MARKS)
             self._learn([w for w in {self._plain(w) for w in bare} if w not in known])
             known.update((w, known[self._plain(w)]) for w in bare if w not in known)
             known.update((w, known[w[:-1]] + known[w[-1]]) for w in missing if w not in known)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            for words, ids, at in zip(split, found, unknown, strict=True):
+                for i in at:
+                    ids[i] = known[words[i]]
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -114,6 +119,13 @@ def id_dtype(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def _uri(spark: SparkSession, folder: str) -> str:
+    """`folder` with the scheme of the cluster's file system, as its files are opened outside Spark too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
+
+
 def write_tokens(
     docs: DataFrame,
     tokenizer: str,
@@ -130,46 +142,48 @@ def write_tokens(
     are not read. `dtype` must hold every id; a larger one raises an error.
     """
     spark = docs.sparkSession
-    folder = folder or shared_dir(spark, "tokens")
+    folder = _uri(spark, folder or shared_dir(spark, "tokens"))
     keys = order or [F.col("doc_id"), F.xxhash64("text")]
     names = [f"__order{i}" for i in range(len(keys))]
     rows = docs.select("doc_id", "text", *(k.alias(n) for k, n in zip(keys, names, strict=True)))
     rows = rows.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
     end = np.array([end_id], dtype).tobytes()
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), _encoder(tokenizer, dtype)
         width = np.dtype(dtype).itemsize
         fs, base = pafs.FileSystem.from_uri(folder)
         name, own = f"{base}/part-{part:06d}", uuid.uuid4().hex
         offsets, ids, out = [np.zeros(1, "<i8")], [], None
         total = 0
-        for frame in batches(frames):
+        for batch, texts in pieces(batches):
             if out is None:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(f"{name}.{own}.bin")
-            encoded = [x + end for x in encode(frame["text"].fillna("").tolist())]
+            encoded = [x + end for x in encode([t or "" for t in texts])]
             ends = np.cumsum([len(x) // width for x in encoded], dtype="<i8") + total
             total = int(ends[-1]) if len(ends) else total
             out.write(b"".join(encoded))
             offsets.append(ends)
-            ids.append(frame["doc_id"])
+            ids.append(batch.column("doc_id"))
         if out is None:
             return
         out.close()
-        key = pd.concat(ids)
-        there = key.notna().to_numpy()
+        key = pa.chunked_array(ids)
+        there = key.is_valid().to_numpy().astype("u1")
+        values = key.fill_null(0).to_numpy().astype("<i8")
         for kind, content in (
             ("off", np.concatenate(offsets).tobytes()),
-            ("key", key.fillna(0).astype("int64").to_numpy().astype("<i8").tobytes() + there.astype("u1").tobytes()),
+            ("key", values.tobytes() + there.tobytes()),
         ):
             with fs.open_output_stream(f"{name}.{own}.{kind}") as stream:
                 stream.write(content)
         for kind in ("bin", "off", "key"):
             fs.move(f"{name}.{own}.{kind}", f"{name}.{kind}")
-        yield pd.DataFrame({"part": [part], "n_docs": [len(key)], "n_tokens": [total]})
+        counts = [pa.array([part], pa.int32()), pa.array([len(key)], pa.int64()), pa.array([total], pa.int64())]
+        yield pa.RecordBatch.from_arrays(counts, names=["part", "n_docs", "n_tokens"])
 
-    rows.mapInPandas(write, PARTS).write.parquet(f"{folder.rstrip('/')}/parts")
+    rows.mapInArrow(write, PARTS).write.parquet(f"{folder.rstrip('/')}/parts")
     return folder
 
 
