@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,15 +81,3 @@ def map_texts(docs: DataFrame, keep: list[str], added: str, compute: Callable[[l
 
     kept = [F.col(c) for c in keep]
     return docs.select(*kept, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
-
-
-def batches(frames: Iterator[pd.DataFrame], max_chars: int = 8_000_000) -> Iterator[pd.DataFrame]:
-    """Cut frames with a text column so that no piece has many more than `max_chars` characters."""
-    for frame in frames:
-        sizes = frame["text"].str.len().fillna(0).to_numpy()
-        piece = (sizes.cumsum() // max_chars).astype("int64")
-        if not len(piece) or piece[0] == piece[-1]:
-            yield frame
-        else:
-            for _, part in frame.groupby(piece, sort=True):
-                yield part

@@ -7,7 +7,8 @@
    bucket that still lie in different components are compared as well. Pairs inside a component
    need no comparison, so a bucket of thousands of near copies gives thousands of pairs, not millions,
    and no candidate between different components is left out.
-3. A pair's signatures are compared in batches. With m of n hashes equal and a uniform prior, the
+3. A pair is met only if the sizes of its sets and the parities of their shingles' bins allow the
+   similarity, which is exact. Then its signatures are compared in batches. With m of n hashes equal and a uniform prior, the
    similarity is Beta(m + 1, n - m + 1) distributed; the pair is dropped once the probability that it
    reaches the threshold is below `miss`. The pairs left are verified on their full sets.
 """
@@ -21,16 +22,17 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightops.llm.common import batches, staged
+from flightops.llm.common import map_texts, small, staged, text_hash
 from flightops.llm.components import components
 
 BANDS, ROWS = 40, 6  # a pair at 0.8 shares no band with a probability of 5e-6
 BATCH = 48  # hashes compared at a time
 MISS = 1e-6
 MAX_WORDS = 1_000_000  # entries kept in a worker's word table before it starts afresh
+BITS = tuple(f"bits{i}" for i in range(16))
 BROADCAST_ROWS = 4_000_000  # ids, 16 bytes each
 
 _rng = np.random.default_rng(20_240_101)
@@ -76,6 +78,12 @@ def signature(shingles: np.ndarray) -> bytes:
     return (low * _STEP >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def parities(shingles: np.ndarray) -> list[int]:
+    """For each of 1,024 bins, whether an odd number of shingles falls into it, as 16 longs."""
+    bins = np.bincount((shingles & np.uint64(64 * len(BITS) - 1)).astype(np.int64), minlength=64 * len(BITS))
+    return np.frombuffer(np.packbits((bins & 1).astype(np.uint8)).tobytes(), "<i8").tolist()
+
+
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """Fewest matches out of n with which the similarity reaches the threshold with probability `miss`."""
     total = 0.0
@@ -87,35 +95,40 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (size of the set), digest of the set and signature; both null for an empty set."""
+    """doc_id, text_key, n (size of the set), digest of the set, signature and one bit of each of its
+    places in four longs; all but n are null for an empty set."""
 
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            sets = [shingle_set(t, size) for t in frame["text"].fillna("")]
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"],
-                    "n": [len(s) for s in sets],
-                    "digest": [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                    "sig": [signature(s) if len(s) else None for s in sets],
-                }
-            )
+    def sign(texts: list[str | None]) -> list[list]:
+        sets = [shingle_set(t or "", size) for t in texts]
+        digests = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        signs = [signature(s) if len(s) else None for s in sets]
+        bits = [parities(s) if len(s) else [None] * len(BITS) for s in sets]
+        return [[len(s) for s in sets], digests, signs, *map(list, zip(*bits, strict=True))]
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n long, digest binary, sig binary")
+    rows = docs.select("doc_id", "text", text_hash().alias("text_key"))
+    fields = "n long, digest binary, sig binary, " + ", ".join(f"{b} long" for b in BITS)
+    return map_texts(rows, ["doc_id", "text_key"], fields, sign)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, shingles) of the documents whose id is in `nodes`."""
-    if nodes.count() <= BROADCAST_ROWS:
-        nodes = F.broadcast(nodes)
-    wanted = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
+    wanted = docs.select(F.col("doc_id").alias("node"), "text").join(small(nodes, BROADCAST_ROWS), "node", "left_semi")
+
+    def collect(texts: list[str | None]) -> list[list]:
+        return [[shingle_set(t or "", size).view(np.int64) for t in texts]]
 
-    def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            sets = [shingle_set(t, size).view(np.int64) for t in frame["text"].fillna("")]
-            yield pd.DataFrame({"node": frame["node"], "shingles": sets})
+    return map_texts(wanted, ["node"], "shingles array<long>", collect).filter("size(shingles) > 0")
 
-    return wanted.mapInPandas(collect, "node long, shingles array<long>").filter("size(shingles) > 0")
+
+def may_reach(one: str, two: str, percent: int) -> Column:
+    """Whether the sizes and parities of two sets allow the similarity.
+
+    Bins whose parities differ hold at least one shingle that only one set has, so the sets share at most
+    half of what their sizes leave after these.
+    """
+    a, b = F.col(f"{one}n"), F.col(f"{two}n")
+    differ = sum((F.bit_count(F.col(one + c).bitwiseXOR(F.col(two + c))) for c in BITS), F.lit(0))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((a + b - differ) * (100 + percent) >= 2 * percent * (a + b))
 
 
 def likely(pairs: DataFrame, live: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -149,7 +162,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row per row of docs (doc_id, text): doc_id, text_key, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id reachable over links; rows that repeat an id are one document
     with several texts. A text that is null or has no words has an empty set and is linked with nothing.
@@ -161,7 +174,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     reps = staged(some.groupBy("digest").agg(F.min("doc_id").alias("node")), "sets")
     first = reps.toDF("digest", "doc_id")
     nodes = staged(
-        some.join(first, ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "sig"),
+        some.join(first, ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "sig", *BITS),
         "nodes",
     )
 
@@ -175,8 +188,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     live = staged(nodes.join(in_bucket, "node", "left_semi"), "live")
     sets = staged(sets_of(docs, live.select("node").distinct(), size), "shingles")
 
-    def fits(one: str, two: str) -> str:
-        return f"100 * least({one}, {two}) >= {percent} * greatest({one}, {two})"
+    def named(rows: DataFrame, side: str) -> DataFrame:
+        """Columns of one side of a pair, with its name before them."""
+        return rows.select(*[F.col(c).alias(c if c == "bucket" else side + c) for c in rows.columns])
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         candidates = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
@@ -184,11 +198,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
         return staged(verified(left, sets, percent), f"{name}-links")
 
     # Each node of a bucket with the two at its ends.
-    sizes = live.groupBy("node").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    sketch = live.select("node", "n", *BITS)
     stars = shared.select("node", "n", F.explode(F.array("low", "high")).alias("other")).filter("node <> other").distinct()
-    stars = stars.join(sizes.withColumnRenamed("node", "other"), "other")
-    stars = stars.filter(f"100 * n >= {percent} * least_n and 100 * most_n >= {percent} * n")
-    found = links(stars.select(F.col("node").alias("a"), F.col("other").alias("b")), "stars")
+    stars = named(stars.join(sketch, ["node", "n"]), "a_").withColumnRenamed("a_other", "b_node")
+    stars = stars.join(named(sketch, "b_"), "b_node").filter(may_reach("a_", "b_", percent))
+    found = links(stars.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "stars")
     # An id with several texts joins their groups.
     members = some.select("doc_id", "digest").distinct().join(reps, "digest")
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
@@ -202,15 +216,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     rest = staged(rest.join(mixed, "bucket", "left_semi"), "rest")
     counts = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     main = counts.groupBy("bucket").agg(F.max_by("label", "c").alias("main"))
-    rest = staged(rest.join(main, "bucket"), "rest-main")
-    one = rest.filter("label <> main").toDF("bucket", "a", "n_a", "label_a", "main")
-    two = rest.toDF("bucket", "b", "n_b", "label_b", "main_b").drop("main_b")
-    cross = one.join(two, "bucket").filter(f"label_a <> label_b and (label_b = main or a < b) and {fits('n_a', 'n_b')}")
-    more = links(cross.select("a", "b"), "rest-pairs")
+    rest = staged(rest.join(main, "bucket").join(sketch, ["node", "n"]), "rest-main")
+    one, two = named(rest.filter("label <> main"), "a_"), named(rest.drop("main"), "b_")
+    apart = F.expr("a_label <> b_label and (b_label = a_main or a_node < b_node)")
+    cross = one.join(two, "bucket").filter(apart & may_reach("a_", "b_", percent))
+    more = links(cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "rest-pairs")
     labels = components(found.union(several).union(more)) if more.limit(1).count() else labels
 
     component = F.coalesce("label", "node")
     by_set = reps.join(labels, "node", "left").select("digest", component.alias("component"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(by_set, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = signed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "digest").join(by_set, "digest", "left")
+    out = out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
