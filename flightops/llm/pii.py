@@ -171,7 +171,7 @@ def train(docs: DataFrame, windows: int = LABELLED_WINDOWS) -> Tagger | None:
 
     Half of the sample may be windows without a span. None if there is no window with a span.
     """
-    rows = labelled_windows(docs).groupBy("window").agg(F.first("tags").alias("tags"))
+    rows = labelled_windows(docs).groupBy("window").agg(F.min("tags").alias("tags"))
     order = F.xxhash64("window")
     some = F.exists("tags", lambda t: t > 0)
     parts = [rows.filter(some), rows.filter(~some)]
