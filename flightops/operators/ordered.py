@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from flightops.functions.times import epoch_micros
 
-BUCKET_SECONDS = 60
+# Short, so that a burst is spread too; a key of one day has at most 864,000 buckets however many its rows.
+BUCKET_SECONDS = 0.1
 
 
-def _bucket(ts: str, seconds: int) -> Column:
-    return F.floor(epoch_micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("bigint")
+def _bucket(ts: str, seconds: float) -> Column:
+    return F.floor(epoch_micros(F.col(ts)) / F.lit(int(seconds * 1_000_000))).cast("bigint")
 
 
 def with_running_last(
@@ -28,7 +29,7 @@ def with_running_last(
     order: Sequence[str],
     values: Mapping[str, str],
     include_current: bool = True,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: float = BUCKET_SECONDS,
 ) -> DataFrame:
     """Add, for each `values` entry (new name -> column), its last non-null value so far.
 
@@ -62,7 +63,7 @@ def with_row_number(
     keys: Sequence[str],
     order: Sequence[str],
     name: str,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: float = BUCKET_SECONDS,
 ) -> DataFrame:
     """Add the 1-based position of each row within its key. `order` as above."""
     bucketed = rows.withColumn("_bucket", _bucket(order[0], bucket_seconds))

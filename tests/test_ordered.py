@@ -39,3 +39,18 @@ def test_running_values_equal_plain_windows(spark, given_rows):
     assert sorted(tuple(x) [2:3] + (x.n,) for x in numbered.collect()) == sorted(
         tuple(x)[2:3] + (x.n,) for x in plain.collect()
     )
+
+
+def test_a_burst_of_one_key_is_spread(spark):
+    off = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(off, "false")
+    try:
+        rows = spark.range(100_000).selectExpr("'hot' as k", "timestamp_micros(id * 10)::timestamp_ntz as ts", "id as seq")
+        numbered = with_row_number(rows, ["k"], ["ts", "seq"], "n").withColumn("part", F.spark_partition_id())
+        per_task = numbered.groupBy("part").agg(F.count("*").alias("c"), F.sum((F.col("n") != F.col("seq") + 1).cast("int")).alias("wrong"))
+        tasks = per_task.collect()
+        assert sum(t.wrong for t in tasks) == 0
+        assert len(tasks) > 1
+        assert max(t.c for t in tasks) < 100_000
+    finally:
+        spark.conf.unset(off)
