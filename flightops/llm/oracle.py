@@ -82,6 +82,101 @@ SELECT pair_id, CAST(k AS INTEGER) AS prefix_turns, coalesce(array_to_string(cs[
 FROM s
 """
 
+
+def _crc32(byte_values: str) -> str:
+    """The checksum of a list of bytes, bit by bit."""
+    bit = "xor(a >> 1, 3988292384 * (a & 1))"
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {byte_values}), "
+        f"lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: {bit})))"
+    )
+
+
+_WORDS = (
+    "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+)
+# Checksums go by a table of all bytes here, and each different feature is hashed once.
+RESAMPLING = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+df AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS f
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (VALUES (1), (2), (3)) k(n))),
+bf AS (SELECT array_to_string(w[i:i + n - 1], ' ') AS f
+  FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b, (VALUES (1), (2), (3)) k(n))),
+tab AS (SELECT list(list_reduce(list_prepend(v, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda a, z: xor(a >> 1, 3988292384 * (a & 1))) ORDER BY v) AS crc FROM (SELECT unnest(range(256)) AS v)),
+h AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(f)),
+      lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)),
+    lambda c, y: xor(crc[(xor(c, y) & 255) + 1], c >> 8))) % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM bf)), tab),
+own AS (SELECT bucket, count(*) AS s FROM df JOIN h USING (f) GROUP BY 1),
+wanted AS (SELECT bucket, count(*) AS t FROM bf JOIN h USING (f) GROUP BY 1),
+gain AS (SELECT g.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) g LEFT JOIN own USING (bucket) LEFT JOIN wanted USING (bucket)),
+weights AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM df JOIN h USING (f) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || d.doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE)
+      / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER () // 100 AS most
+  FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank
+FROM scored s LEFT JOIN drawn USING (doc_id)
+"""
+
+
+def _merkle(levels: int = 6) -> str:
+    """The trees of sources (level by level, up to 16 ** levels rows), then the tree above, then every row's path."""
+
+    def item(value: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join([*map(item, ('doc_id', 'source', 'lang', 'n_chars')), item(text)])})"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = _crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)")
+    parts = [
+        f"""rows AS (SELECT doc_id, {leaf('text')} AS h, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS claim,
+          dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t,
+          row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i FROM documents)""",
+        "a0 AS (SELECT t, i, h, count(*) OVER (PARTITION BY t) AS n FROM rows)",
+    ]
+
+    def tree(name: str) -> None:
+        for k in range(levels):
+            parts.append(f"""{name}r{k} AS (SELECT t, i // 16 AS r, list(h ORDER BY i) AS hs, n FROM {name}{k} WHERE n > 1 GROUP BY t, i // 16, n)""")
+            parts.append(f"""{name}{k + 1} AS (SELECT t, r AS i, sha256(array_to_string(hs, '')) AS h, (n + 15) // 16 AS n FROM {name}r{k}
+              UNION ALL SELECT t, i, h, n FROM {name}{k} WHERE n <= 1)""")
+
+    def path(name: str, tree_name: str, start: str, keep: str) -> str:
+        parts.append(f"{name}0 AS ({start})")
+        for k in range(levels):
+            at = f"p.i // {16**k} % 16"
+            parts.append(f"""{name}{k + 1} AS (SELECT {keep}, p.t, p.i, p.proof || CASE WHEN hs IS NULL THEN ''
+                ELSE array_to_string(hs[1:{at}], '') || array_to_string(hs[{at} + 2:], '') END AS proof,
+              CASE WHEN hs IS NULL THEN p.f ELSE
+                sha256(array_to_string(list_concat(hs[1:{at}], [p.f], hs[{at} + 2:]), '')) END AS f
+              FROM {name}{k} p LEFT JOIN {tree_name}r{k} r ON r.t = p.t AND r.r = p.i // {16**(k + 1)})""")
+        return f"{name}{levels}"
+
+    tree("a")
+    parts.append(f"b0 AS (SELECT 0 AS t, t AS i, h, count(*) OVER () AS n FROM a{levels})")
+    tree("b")
+    low = path("p", "a", "SELECT doc_id, h, t AS own_tree, t, i, '' AS proof, claim AS f FROM rows", "p.doc_id, p.h, p.own_tree")
+    high = path("q", "b", f"SELECT doc_id, h, own_tree, 0 AS t, own_tree AS i, proof, f FROM {low}", "p.doc_id, p.h, p.own_tree")
+    return f"""WITH {', '.join(parts)}
+SELECT q.doc_id, q.h AS leaf, a.h AS subroot, b.h AS root, sha256(q.proof) AS proof_sha256, q.f AS folded_root, q.f = b.h AS verified
+FROM {high} q JOIN a{levels} a ON a.t = q.own_tree, b{levels} b
+"""
+
+
 ORACLE: dict[str, str] = {
     "op5_preference_format": PREFERENCE,
-    "op2_decontamination": DECONTAMINATION, "op8_mixing": MIXING}
+    "op2_decontamination": DECONTAMINATION,
+    "op8_mixing": MIXING,
+    "op11_importance_resampling": RESAMPLING,
+    "op13_merkle_manifest": _merkle(),
+}

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.llm import decontaminate, language, mixing, near_dedup, pii, preference, substring, token_output, topk, url_filter
+from flightops.llm import (
+    decontaminate,
+    language,
+    merkle,
+    mixing,
+    near_dedup,
+    pii,
+    preference,
+    resample,
+    substring,
+    token_counts,
+    token_output,
+    topk,
+    url_filter,
+)
 from flightops.llm.common import session_for_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +35,10 @@ def query(f: Query) -> Query:
     return f
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 @query
@@ -129,3 +143,36 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's distribution, and its rank if it is drawn."""
+    session_for_texts(spark)
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+COUNTED_TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens."""
+    session_for_texts(spark)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(COUNTED_TOKENIZER), TOKEN_LIMIT)
+
+
+TAMPERED_EVERY = 5  # fixed values of the contract
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and whether its text, tampered with for one in five, still proves."""
+    session_for_texts(spark)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % TAMPERED_EVERY == 0
+    claim = F.when(tampered, merkle.leaf(F.translate("text", UPPER, LOWER)))
+    manifest = merkle.build(table(spark, sf_dir, "documents"), claim)
+    root = F.lit(manifest.root.hex() if manifest.root else None).cast("string")
+    found = merkle.proofs(manifest).withColumns({"root": root, "verified": F.col("folded_root") == root})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
