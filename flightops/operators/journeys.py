@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightops.functions.times import plus_seconds
-from flightops.operators.lifecycle import fold_flights, transitions_of_fold
+from flightops.operators.lifecycle import RUN, fold_of_states, slot_states, transitions_of_fold
+from flightops.operators.skew import behind_own_exchange
 from flightops.schemas import DEFAULT_DELAY, PHASES, TURNAROUND_SECONDS
 from flightops.sources.requests import legs_in_journey
 
+_FOLD = ("cancel_slot", "end_slot", "entered", "gates", "delays")
+
 
 def _legs_so_far():
     return Window.partitionBy("journey_id").orderBy("leg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -54,22 +57,30 @@ def journey_schedule(journeys: DataFrame, turnaround_seconds: int = TURNAROUND_S
     return legs_in_journey(journeys).withColumn("leg_start", start).drop("legs")
 
 
-def rebase_signals(signals: DataFrame, scheduled: DataFrame) -> DataFrame:
-    """Signals moved from their flight's own start to the start of its leg."""
-    starts = scheduled.select("flight_key", "start_ts", "leg_start")
-    moved = F.col("leg_start") + (F.col("event_ts") - F.col("start_ts"))
-    return signals.join(starts, "flight_key").withColumn("event_ts", moved).select(*signals.columns)
+def leg_runs(scheduled: DataFrame, own_time: bool = False) -> DataFrame:
+    """`scheduled` with `start_ts` as the time that its signals refer to: the leg's start, or the flight's own.
+
+    Signals are in journey time by default: they count where they fall while the leg runs. With `own_time` they
+    are those of the flight as planned alone, and move with it to where the journey puts the leg.
+    """
+    return scheduled if own_time else scheduled.withColumn("start_ts", F.col("leg_start"))
+
+
+def legs_with_states(legs: DataFrame, states: DataFrame) -> DataFrame:
+    """Legs with the states of their runs. A flight that several legs share is folded once and handed to each."""
+    return legs.join(behind_own_exchange(states, "flight_key"), list(RUN), "left")
 
 
-def leg_outcomes(scheduled: DataFrame, signals: DataFrame) -> DataFrame:
-    """Each leg as if it ran, whatever the others do. `signals` are in journey time."""
-    legs = scheduled.withColumn("start_ts", F.col("leg_start"))
+def outcomes_of_legs(legs: DataFrame, columns: list[str]) -> DataFrame:
+    """Each leg as if it ran, from its state; keeps the fold, which its history rows are made of."""
+    folded = fold_of_states(legs.withColumn("start_ts", F.col("leg_start")), columns)
     last_delay = F.get("delays", F.col("end_slot"))
-    return fold_flights(legs, signals).select(
+    return folded.select(
         "journey_id",
         "leg",
         "flight_key",
         "flight_number",
+        "flight_date",
         "leg_start",
         F.col("end_ts").alias("leg_end"),
         F.when(F.col("cancel_slot").isNotNull(), "CANCELLED").otherwise("COMPLETED").alias("own_state"),
@@ -78,9 +89,17 @@ def leg_outcomes(scheduled: DataFrame, signals: DataFrame) -> DataFrame:
         F.when(last_delay > 0, last_delay).otherwise(F.lit(DEFAULT_DELAY)).alias("delay"),
         "aircraft",
         (F.coalesce("cancel_slot", F.lit(PHASES)) + 1).alias("n_transitions"),
+        *_FOLD,
     )
 
 
+def leg_outcomes(scheduled: DataFrame, signals: DataFrame, own_time: bool = False) -> DataFrame:
+    """Each leg as if it ran, whatever the others do."""
+    runs = leg_runs(scheduled, own_time)
+    states = slot_states(runs.select(*RUN).distinct(), signals, RUN)
+    return outcomes_of_legs(legs_with_states(runs, states), scheduled.columns)
+
+
 def _with_journey_start(journey_signals: DataFrame, scheduled: DataFrame) -> DataFrame:
     starts = scheduled.filter(F.col("leg") == 0).select("journey_id", F.col("leg_start").alias("journey_start"))
     return journey_signals.join(starts, "journey_id", "left")
@@ -130,18 +149,25 @@ def aircraft_handoff(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("aircraft", F.when(reached, first_known).otherwise(F.col("aircraft")))
 
 
-def journey_execution(scheduled: DataFrame, signals: DataFrame, journey_signals: DataFrame) -> DataFrame:
-    """Every leg after the journey's end. Legs that never ran have no times and no transitions."""
-    outcomes = cascade_cancellations(
-        leg_outcomes(scheduled, signals), accepted_journey_signals(journey_signals, scheduled)
-    )
+def journey_run(
+    scheduled: DataFrame, signals: DataFrame, journey_signals: DataFrame, own_time: bool = False
+) -> DataFrame:
+    """Every leg after the journey's end with its fold; `execution_of` and `transitions_of_run` are views of it."""
+    accepted = accepted_journey_signals(journey_signals, scheduled)
+    return aircraft_handoff(cascade_cancellations(leg_outcomes(scheduled, signals, own_time), accepted))
 
-    ran = F.coalesce(F.col("cancelled_by"), F.lit("")).isin("", "leg")
+
+def _ran() -> Column:
+    return F.coalesce(F.col("cancelled_by"), F.lit("")).isin("", "leg")
+
+
+def execution_of(run: DataFrame) -> DataFrame:
+    """Legs that never ran have no times and no transitions."""
 
     def if_ran(name: str, otherwise: Column) -> Column:
-        return F.when(ran, F.col(name)).otherwise(otherwise).alias(name)
+        return F.when(_ran(), F.col(name)).otherwise(otherwise).alias(name)
 
-    return aircraft_handoff(outcomes).select(
+    return run.select(
         "journey_id",
         "leg",
         "flight_key",
@@ -157,15 +183,24 @@ def journey_execution(scheduled: DataFrame, signals: DataFrame, journey_signals:
     )
 
 
-def journey_transitions(scheduled: DataFrame, signals: DataFrame, execution: DataFrame) -> DataFrame:
-    """History rows of every leg that ran, at journey time and with the aircraft it was handed.
+def transitions_of_run(run: DataFrame) -> DataFrame:
+    """History rows of every leg that ran, at journey time and with the aircraft it was handed."""
+    legs = run.filter(_ran()).withColumn("gate", F.col("planned_gate"))
+    return transitions_of_fold(legs, also=("journey_id", "leg"))
 
-    `signals` are in journey time. A leg has at most seven rows, so the join moves few.
-    """
-    legs = scheduled.withColumn("start_ts", F.col("leg_start"))
-    rows = transitions_of_fold(fold_flights(legs, signals)).drop("aircraft")
-    ran = execution.filter(F.col("leg_start").isNotNull()).select("journey_id", "leg", "flight_key", "aircraft")
-    return rows.join(ran, "flight_key")
+
+def journey_execution(
+    scheduled: DataFrame, signals: DataFrame, journey_signals: DataFrame, own_time: bool = False
+) -> DataFrame:
+    """Every leg after the journey's end."""
+    return execution_of(journey_run(scheduled, signals, journey_signals, own_time))
+
+
+def journey_transitions(
+    scheduled: DataFrame, signals: DataFrame, journey_signals: DataFrame, own_time: bool = False
+) -> DataFrame:
+    """The history rows of the journey's legs, from the same fold as the execution."""
+    return transitions_of_run(journey_run(scheduled, signals, journey_signals, own_time))
 
 
 def journey_status(execution: DataFrame) -> DataFrame:

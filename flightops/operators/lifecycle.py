@@ -45,7 +45,11 @@ def total_duration(flights: DataFrame) -> DataFrame:
 
 def _slotted(flights: DataFrame, signals: DataFrame) -> DataFrame:
     """Signals inside their flight's planned span with their slot. One row per signal at most."""
-    joined = signals.join(flights.select("flight_key", "start_ts", "phase_seconds"), "flight_key")
+    return with_slot(signals.join(flights.select("flight_key", "start_ts", "phase_seconds"), "flight_key"))
+
+
+def with_slot(joined: DataFrame) -> DataFrame:
+    """Rows that carry a signal and its flight's start and phases, if inside the planned span, with their slot."""
     offset = f"({micros('event_ts')} - {micros('start_ts')})"
     ends = [f"1000000L * ({_elapsed(i)})" for i in SLOTS]
     passed = " + ".join(f"cast({offset} > {end} as int)" for end in ends[:PHASES])
@@ -75,52 +79,71 @@ def effective_cancellations(flights: DataFrame, signals: DataFrame) -> DataFrame
     )
 
 
-def fold_flights(flights: DataFrame, signals: DataFrame) -> DataFrame:
-    """`flights` plus the folded signals, still one row per flight.
+# What a run of a flight keeps of its signals: the boundary it is cancelled at and, for each slot, the last
+# delay and gate with their place in the order of events. Two of these rows merge into one by `merged_states`.
+RUN = ("flight_key", "start_ts", "phase_seconds")
+_DELAYS, _GATES = [f"_d{i}" for i in SLOTS], [f"_g{i}" for i in SLOTS]
+STATE_COLUMNS = ("cancel_slot", *_DELAYS, *_GATES)
 
-    Adds `cancel_slot`, `end_slot` and `end_ts`, and the arrays `entered` (entry times),
-    `gates` and `delays` (values in force at each entry, null if never signalled). A slot's
-    values count for an entry only up to `end_slot`; later signals find the flight closed.
-    """
-    order = F.struct("event_ts", "event_seq")
+
+def states_of_slots(slotted: DataFrame, keys: tuple[str, ...] = ("flight_key",)) -> DataFrame:
+    """One row per `keys` with STATE_COLUMNS. Reduced per slot first, so that a hot key is spread over the tasks before."""
 
     def last(kind: str, value: str, name: str) -> Column:
-        return F.max_by(value, F.when(F.col("signal") == kind, order)).alias(name)
+        there = (F.col("signal") == kind) & F.col(value).isNotNull()
+        return F.max(F.when(there, F.struct("event_ts", "event_seq", F.col(value).alias("value")))).alias(name)
 
-    per_slot = (
-        _slotted(flights, signals)
-        .groupBy("flight_key", "slot")
-        .agg(
-            last(DELAY, "delay_minutes", "d"),
-            last(GATE, "gate", "g"),
-            F.max(F.col("signal") == CANCEL).alias("cancelled"),
-        )
+    per_slot = slotted.groupBy(*keys, "slot").agg(
+        last(DELAY, "delay_minutes", "d"), last(GATE, "gate", "g"), F.max(F.col("signal") == CANCEL).alias("cancelled")
     )
-    per_flight = per_slot.groupBy("flight_key").agg(
+    return per_slot.groupBy(*keys).agg(
         F.min(F.when(F.col("cancelled"), _cancel_slot())).alias("cancel_slot"),
-        *[F.max(F.when(F.col("slot") == i, F.col("d"))).alias(f"_d{i}") for i in SLOTS],
-        *[F.max(F.when(F.col("slot") == i, F.col("g"))).alias(f"_g{i}") for i in SLOTS],
+        *[F.max(F.when(F.col("slot") == i, F.col("d"))).alias(_DELAYS[i]) for i in SLOTS],
+        *[F.max(F.when(F.col("slot") == i, F.col("g"))).alias(_GATES[i]) for i in SLOTS],
     )
 
-    def in_force(name: str) -> str:
-        """Latest value at each entry: that of the own slot, else of the slot before, …"""
-        latest = (", ".join(f"{name}{j}" for j in range(i, -1, -1)) for i in SLOTS)
-        return "array(" + ", ".join(f"coalesce({values})" for values in latest) + ")"
 
-    return (
-        flights.join(per_flight, "flight_key", "left")
-        .selectExpr(
-            *flights.columns,
-            "cancel_slot",
-            f"coalesce(cancel_slot, {PHASES}) as end_slot",
-            f"array({', '.join(_ENTRY_TIMES)}) as entered",
-            f"{in_force('_g')} as gates",
-            f"{in_force('_d')} as delays",
-        )
-        .selectExpr("*", "get(entered, end_slot) as end_ts")
+def slot_states(flights: DataFrame, signals: DataFrame, keys: tuple[str, ...] = ("flight_key",)) -> DataFrame:
+    """The states of flights that have signals inside their planned span."""
+    return states_of_slots(_slotted(flights, signals), keys)
+
+
+def merged_states(states: DataFrame, keys: tuple[str, ...] = RUN) -> DataFrame:
+    """Partial states of the same keys put together; their order does not matter."""
+    return states.groupBy(*keys).agg(
+        F.min("cancel_slot").alias("cancel_slot"), *[F.max(c).alias(c) for c in (*_DELAYS, *_GATES)]
     )
 
 
+def fold_of_states(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of `rows`, which carry STATE_COLUMNS, and the fold of `fold_flights`."""
+
+    def in_force(names: list[str]) -> str:
+        """Latest value at each entry: that of the own slot, else of the slot before, …"""
+        latest = (", ".join(names[j] for j in range(i, -1, -1)) for i in SLOTS)
+        return "array(" + ", ".join(f"coalesce({values}).value" for values in latest) + ")"
+
+    return rows.selectExpr(
+        *columns,
+        "cancel_slot",
+        f"coalesce(cancel_slot, {PHASES}) as end_slot",
+        f"array({', '.join(_ENTRY_TIMES)}) as entered",
+        f"{in_force(_GATES)} as gates",
+        f"{in_force(_DELAYS)} as delays",
+    ).selectExpr("*", "get(entered, end_slot) as end_ts")
+
+
+def fold_flights(flights: DataFrame, signals: DataFrame) -> DataFrame:
+    """`flights` plus the folded signals, still one row per flight.
+
+    Adds `cancel_slot`, `end_slot` and `end_ts`, and the arrays `entered` (entry times),
+    `gates` and `delays` (values in force at each entry, null if never signalled). A slot's
+    values count for an entry only up to `end_slot`; later signals find the flight closed. A
+    signal without its value changes nothing.
+    """
+    return fold_of_states(flights.join(slot_states(flights, signals), "flight_key", "left"), flights.columns)
+
+
 def flights_with_end(flights: DataFrame, signals: DataFrame) -> DataFrame:
     """`flights` plus `end_ts`. Only cancellations can move the end, so only they are joined."""
     cancels = signals.filter(F.col("signal") == CANCEL)
@@ -129,8 +152,11 @@ def flights_with_end(flights: DataFrame, signals: DataFrame) -> DataFrame:
     return flights.join(slots, "flight_key", "left").selectExpr(*flights.columns, end)
 
 
-def transitions_of_fold(folded: DataFrame) -> DataFrame:
-    """History rows of folded flights: the planned entries up to the end, CANCELLED if cut short."""
+def transitions_of_fold(folded: DataFrame, first: str = "0", last: str = "end_slot", also: tuple[str, ...] = ()) -> DataFrame:
+    """History rows of folded flights: the planned entries up to the end, CANCELLED if cut short.
+
+    `first` and `last` narrow the entries, as SQL over a folded row; `also` are columns to keep.
+    """
     rows = ", ".join(
         f"""named_struct(
             'from_state', {f"'{PLANNED[i - 1]}'" if i else "cast(null as string)"},
@@ -139,8 +165,8 @@ def transitions_of_fold(folded: DataFrame) -> DataFrame:
             'delay', coalesce(delays[{i}], {DEFAULT_DELAY}))"""
         for i in SLOTS
     )
-    happened = f"inline(slice(array({rows}), 1, end_slot + 1)) as (from_state, to_state, timestamp, gate, delay)"
-    return folded.selectExpr("flight_key", "flight_number", "flight_date", "aircraft", happened).select(
+    happened = f"inline(slice(array({rows}), {first} + 1, {last} - {first} + 1)) as (from_state, to_state, timestamp, gate, delay)"
+    return folded.selectExpr("flight_key", "flight_number", "flight_date", "aircraft", *also, happened).select(
         F.concat_ws(":", "flight_key", "to_state").alias("id"),
         "flight_key",
         "flight_number",
@@ -153,6 +179,7 @@ def transitions_of_fold(folded: DataFrame) -> DataFrame:
         "aircraft",
         F.lit("STATE_TRANSITION").alias("event_type"),
         transition_details(F.col("from_state"), F.col("to_state")).alias("event_details"),
+        *also,
     )
 
 

@@ -76,19 +76,19 @@ class Tables:
     def scheduled(self) -> DataFrame:
         return journeys.journey_schedule(self.view("journeys"))
 
-    @cached_property
-    def leg_signals(self) -> DataFrame:
-        return journeys.rebase_signals(self.signals, self.scheduled)
-
     @cached_property
     def cascaded(self) -> DataFrame:
-        outcomes = journeys.leg_outcomes(self.scheduled, self.leg_signals)
+        outcomes = journeys.leg_outcomes(self.scheduled, self.signals, own_time=True)
         cancels = journeys.accepted_journey_signals(self.view("journey_signals"), self.scheduled)
         return journeys.cascade_cancellations(outcomes, cancels)
 
+    @cached_property
+    def journey_run(self) -> DataFrame:
+        return journeys.aircraft_handoff(self.cascaded)
+
     @cached_property
     def execution(self) -> DataFrame:
-        return journeys.journey_execution(self.scheduled, self.leg_signals, self.view("journey_signals"))
+        return journeys.execution_of(self.journey_run)
 
     @cached_property
     def state_changes(self) -> DataFrame:
@@ -300,12 +300,12 @@ def rejected_journey_signals(t):
 
 @query
 def aircraft_handoff(t):
-    return journeys.aircraft_handoff(t.cascaded).select("journey_id", "leg", "flight_key", "aircraft")
+    return t.journey_run.select("journey_id", "leg", "flight_key", "aircraft")
 
 
 @query
 def journey_transitions(t):
-    return journeys.journey_transitions(t.scheduled, t.leg_signals, t.execution)
+    return journeys.transitions_of_run(t.journey_run)
 
 
 @query

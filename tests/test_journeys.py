@@ -116,8 +116,8 @@ def test_a_cancellation_before_the_start_is_rejected_and_hides_no_later_one(spar
 def test_legs_that_ran_have_history_rows(spark):
     scheduled = journeys.journey_schedule(_journeys(spark, ("J", LEGS)))
     signals = r.signals(spark, r.gate("AA100", 3, "C1", 1), r.cancel("AA200", LEG + 2, seq=2))
-    execution = journeys.journey_execution(scheduled, signals, spark.createDataFrame([], CANCELS))
-    rows = journeys.journey_transitions(scheduled, signals, execution).orderBy("leg", "timestamp").collect()
+    none = spark.createDataFrame([], CANCELS)
+    rows = journeys.journey_transitions(scheduled, signals, none).orderBy("leg", "timestamp").collect()
     assert [t.leg for t in rows] == [0] * 6 + [1] * 3
     assert [t.gate for t in rows[:4]] == ["A1", "A1", "C1", "C1"]
     assert [(t.to_state, t.timestamp) for t in rows[6:]] == [
@@ -131,3 +131,20 @@ def test_links_and_schedule_need_no_shuffle(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan
         assert "Exchange" not in plan
+
+
+def test_a_flight_shared_by_two_journeys_runs_in_each(spark):
+    """Twelve and six rows, and one signal counts for both executions of its flight."""
+    nested = _journeys(spark, ("J1", [r.flight("AA100"), r.flight("AA200")]), ("J2", [r.flight("AA200")]))
+    scheduled = journeys.journey_schedule(nested)
+    none = spark.createDataFrame([], CANCELS)
+    sent = r.signals(spark, r.delay("AA200", 2, 25))
+    execution = journeys.journey_execution(scheduled, sent, none, own_time=True).orderBy("journey_id", "leg").collect()
+    assert [(x.journey_id, x.leg, x.delay, x.n_transitions) for x in execution] == [("J1", 0, 0, 6), ("J1", 1, 25, 6), ("J2", 0, 25, 6)]
+    rows = journeys.journey_transitions(scheduled, sent, none, own_time=True).collect()
+    assert len(rows) == 18
+    entered = {(x.journey_id, x.leg): x.timestamp for x in rows if x.to_state == "SCHEDULED"}
+    assert entered == {("J1", 0): r.at(0), ("J1", 1): r.at(LEG), ("J2", 0): r.at(0)}
+    # In journey time the same signal meets only the execution that runs then.
+    alone = journeys.journey_execution(scheduled, sent, none).orderBy("journey_id", "leg").collect()
+    assert [x.delay for x in alone] == [0, 0, 25]
