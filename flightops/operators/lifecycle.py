@@ -133,15 +133,15 @@ def fold_of_states(rows: DataFrame, columns: list[str]) -> DataFrame:
     ).selectExpr("*", "get(entered, end_slot) as end_ts")
 
 
-def fold_flights(flights: DataFrame, signals: DataFrame) -> DataFrame:
+def fold_flights(flights: DataFrame, signals: DataFrame, keys: tuple[str, ...] = ("flight_key",)) -> DataFrame:
     """`flights` plus the folded signals, still one row per flight.
 
     Adds `cancel_slot`, `end_slot` and `end_ts`, and the arrays `entered` (entry times),
     `gates` and `delays` (values in force at each entry, null if never signalled). A slot's
     values count for an entry only up to `end_slot`; later signals find the flight closed. A
-    signal without its value changes nothing.
+    signal without its value changes nothing. Where keys have several runs, `keys` is RUN.
     """
-    return fold_of_states(flights.join(slot_states(flights, signals), "flight_key", "left"), flights.columns)
+    return fold_of_states(flights.join(slot_states(flights, signals, keys), list(keys), "left"), flights.columns)
 
 
 def flights_with_end(flights: DataFrame, signals: DataFrame) -> DataFrame:
@@ -191,9 +191,9 @@ def flight_transitions(flights: DataFrame, signals: DataFrame) -> DataFrame:
     )
 
 
-def transitions_with_context(flights: DataFrame, signals: DataFrame) -> DataFrame:
+def transitions_with_context(flights: DataFrame, signals: DataFrame, keys: tuple[str, ...] = ("flight_key",)) -> DataFrame:
     """The same rows with the gate and delay in force at that moment: the history table."""
-    return transitions_of_fold(fold_flights(flights, signals))
+    return transitions_of_fold(fold_flights(flights, signals, keys))
 
 
 def flight_details(flights: DataFrame, signals: DataFrame, as_of) -> DataFrame:

@@ -308,6 +308,24 @@ VIEWS: dict[str, str] = {
         SELECT departure_station, arrival_station, count(*) AS n_flights, round(avg(delay), 6) AS avg_delay,
                max(delay) AS max_delay
         FROM outcomes GROUP BY 1, 2""",
+    "sent_starts": """
+        SELECT f.flight_key, f.u, h, f.start_ts + to_hours(h) AS start_ts FROM flights f, (VALUES (0), (8), (26)) x(h)
+        WHERE h = 0 OR (h = 8 AND u % 3 = 0) OR (h = 26 AND u % 4 = 0)""",
+    "sent_hits": """
+        SELECT s.flight_key, s.h, min(g.event_ts) AS cancel_ts
+        FROM sent_starts s JOIN timeline b ON b.flight_key = s.flight_key AND b.ordinal = 4
+             JOIN sig g ON g.flight_key = s.flight_key AND g.signal = 'cancelFlight'
+                  AND g.event_ts BETWEEN s.start_ts AND b.entered_at + to_hours(s.h) GROUP BY 1, 2""",
+    "sent_ends": """
+        SELECT s.flight_key, s.h, s.start_ts, min(t.entered_at + to_hours(s.h)) AS end_ts
+        FROM sent_starts s LEFT JOIN sent_hits c ON c.flight_key = s.flight_key AND c.h = s.h
+             JOIN timeline t ON t.flight_key = s.flight_key AND (t.ordinal = 5
+                  OR (t.ordinal BETWEEN 1 AND 4 AND t.entered_at + to_hours(s.h) >= c.cancel_ts))
+        GROUP BY 1, 2, 3""",
+    "sent_chain": """
+        SELECT a.flight_key, a.start_ts AS s0, a.end_ts AS e0, b.start_ts AS s1, b.end_ts AS e1, b.start_ts > a.end_ts AS ok1, c.start_ts AS s2
+        FROM sent_ends a LEFT JOIN sent_ends b ON b.flight_key = a.flight_key AND b.h = 8
+             LEFT JOIN sent_ends c ON c.flight_key = a.flight_key AND c.h = 26 WHERE a.h = 0""",
     "asked": """
         SELECT flight_key, u, aircraft, CASE WHEN u % 13 <> 0 THEN gate END AS gate,
                CASE WHEN u % 17 = 0 THEN '  ' ELSE departure_station END AS departure_station,
@@ -334,6 +352,10 @@ TEXTS: dict[str, str] = {
         SELECT flight_key, flight_number, flight_date, departure_station, arrival_station, scheduled_departure,
                scheduled_arrival, 'SCHEDULED' AS current_state, gate, aircraft, 0 AS delay
         FROM asked a WHERE len(list_filter({_violations('a')}, lambda x: x IS NOT NULL)) = 0""",
+    "rejected_starts": """
+        SELECT flight_key, s1 AS start_ts, s0 AS running_since, e0 AS running_until FROM sent_chain WHERE NOT ok1
+        UNION ALL SELECT flight_key, s2, CASE WHEN ok1 THEN s1 ELSE s0 END, CASE WHEN ok1 THEN e1 ELSE e0 END
+        FROM sent_chain WHERE s2 <= CASE WHEN ok1 THEN e1 ELSE e0 END""",
     "journey_legs": """
         SELECT journey_id, 'journey-' || journey_id AS journey_key, leg, flight_number, flight_date, departure_station,
                arrival_station, scheduled_departure, scheduled_arrival, gate, aircraft, start_ts, flight_key

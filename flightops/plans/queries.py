@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops.functions.keys import default_flight_date
-from flightops.operators import analytics, enrich, history, journeys, lifecycle, signals
+from flightops.operators import analytics, enrich, history, journeys, lifecycle, signals, starts
 from flightops.plans import views
 from flightops.schemas import REQUEST_CHANNEL
 from flightops.session import shared_dir, tune
@@ -142,6 +142,11 @@ def flights_from_requests(t):
     return requests.flights_from_requests(signals.valid_flight_requests(t.view("flight_requests")))
 
 
+@query
+def rejected_starts(t):
+    return starts.rejected_starts(t.view("start_requests"), t.signals)
+
+
 @query
 def journey_legs(t):
     return t.legs.drop("phase_seconds")

@@ -227,3 +227,13 @@ def journey_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def start_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flights' starts; some users send a second one 8 h later, some a third one 26 h after the first."""
+    user = _user_of_number()
+    hours = F.concat(
+        F.array(F.lit(0)),
+        F.when(user % 3 == 0, F.array(F.lit(8))).otherwise(F.array().cast("array<int>")),
+        F.when(user % 4 == 0, F.array(F.lit(26))).otherwise(F.array().cast("array<int>")),
+    )
+    sent = flights(spark, sf_dir).withColumn("hours", F.explode(hours))
+    return sent.withColumn("start_ts", F.col("start_ts") + F.make_dt_interval(hours=F.col("hours"))).drop("hours")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that can be changed on a running session and that results or skew handling rely on.
 RUNTIME_CONF = {
@@ -55,3 +55,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="flightops-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` written to the shared folder and read again: later steps start from files that any executor can read."""
+    path = shared_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
