@@ -50,16 +50,21 @@ def small(rows: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
-def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Record batches with their texts, cut so that no piece has many more than `max_bytes` of text."""
+def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Record batches, cut so that none has many more than `max_bytes` of text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         piece = np.cumsum(sizes, dtype=np.int64) // max_bytes
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts, cuts[1:]):
             if high > low:
-                part = batch.slice(low, high - low)
-                yield part, part.column("text").to_pylist()
+                yield batch.slice(low, high - low)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Record batches with their texts, cut so that no piece has many more than `max_bytes` of text."""
+    for part in slices(batches, max_bytes):
+        yield part, part.column("text").to_pylist()
 
 
 def map_texts(docs: DataFrame, keep: list[str], added: str, compute: Callable[[list[str | None]], list[list]]) -> DataFrame:

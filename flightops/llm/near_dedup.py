@@ -31,7 +31,7 @@ from flightops.llm.components import components
 BANDS, ROWS = 40, 6  # a pair at 0.8 shares no band with a probability of 5e-6
 BATCH = 48  # hashes compared at a time
 MISS = 1e-6
-MAX_WORDS = 1_000_000  # entries kept in a worker's word table before it starts afresh
+MAX_WORDS = 100_000  # entries, some 12 MB, kept in a worker's word table before it starts afresh
 BITS = tuple(f"bits{i}" for i in range(16))
 BROADCAST_ROWS = 4_000_000  # ids, 16 bytes each
 

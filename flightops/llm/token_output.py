@@ -24,28 +24,33 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flightops.llm.common import pieces
+from flightops.llm.common import slices
 from flightops.session import shared_dir
 
 PARTS = "part int, n_docs long, n_tokens long"
-MAX_WORDS = 500_000  # entries kept in a worker's word table before it starts afresh
-MARKS = ".,;:!?"
+MAX_WORDS = 120_000  # entries of a word table, of which a worker has two: some 25 MB each
+GROUP_BYTES = 4_000_000  # of text that are encoded at a time
 SEPARATOR = "\0"
-LATIN_END = "\u0250"  # letters below it are in composed form and lower-cased one by one
+WORD_END = r"(\pL)([.,;:!?])"
+NOT_SIMPLE = r"\pM|\x{0130}|<\|"
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer whose tokens never cross a blank or line feed.
 
-    That holds for the pre-tokenizers that split on white space and drop it. Each different word is
-    encoded once by the library; a text is the concatenation of its words' ids. New words go to the
-    library in lines, with a separator that is one token of its own.
+    That holds for the pre-tokenizers that split on white space and drop it. Arrow splits the texts and
+    numbers their different words; each of these is looked up once, new ones are encoded by the library, in lines with
+    a separator that is one token of its own, and the ids of all words are gathered in one step.
+
+    Two tables hold the words seen lately. When the newer one is full the older is dropped, so that frequent words
+    stay and memory is bounded.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
@@ -54,55 +59,89 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
         self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         alone = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = alone[0] if len(alone) == 1 else None
         lower = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("Ab", "ab")]
-        self.fold = lower[0] == lower[1]
+        apart = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("ab. c", "ab . c")]
+        self.simple = lower[0] == lower[1] and apart[0] == apart[1]
 
-    def _plain(self, word: str) -> str:
-        """The lower-case form of a word of Latin letters, if the tokenizer ignores case."""
-        return word.lower() if self.fold and word.isalpha() and max(word) < LATIN_END else word
+    def _simplified(self, texts: pa.Array) -> pa.Array:
+        """Texts with fewer different words and the same ids, for a tokenizer that ignores case and cuts words at marks.
 
-    @staticmethod
-    def _bare(word: str) -> str:
-        """A word of Latin letters without its closing mark, which is a piece of its own."""
-        return word[:-1] if word[-1] in MARKS and word[:-1].isalpha() and max(word) < LATIN_END else word
+        Texts with combining signs (which may join a letter or a mark), with the one letter whose lower case has such a
+        sign, or with what may be a special string stay as they are.
+        """
+        if not self.simple:
+            return texts
+        spaced = pc.replace_substring_regex(pc.utf8_lower(texts), WORD_END, r"\1 \2")
+        return pc.if_else(pc.match_substring_regex(texts, NOT_SIMPLE), texts, spaced)
 
     def _ids(self, words: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, self.dtype) for e in found]
 
-    def _learn(self, missing: list[str]) -> None:
-        odd = [w for w in missing if SEPARATOR in w] if self.separator is not None else missing
-        self.words.update((w, x.tobytes()) for w, x in zip(odd, self._ids(odd), strict=True))
-        rest = [w for w in missing if w not in self.words]
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of different words, from the library."""
+        odd = [w for w in words if SEPARATOR in w] if self.separator is not None else words
+        new = {w: x.tobytes() for w, x in zip(odd, self._ids(odd), strict=True)}
+        rest = [w for w in words if w not in new]
         lines = [rest[i : i + 200] for i in range(0, len(rest), 200)]
         joined = [f" {SEPARATOR} ".join(line) + f" {SEPARATOR}" for line in lines]
         for line, ids in zip(lines, self._ids(joined), strict=True):
             ends = np.flatnonzero(ids == self.separator)
             raw, width, at = ids.tobytes(), ids.itemsize, 0
             for w, end in zip(line, ends.tolist(), strict=True):
-                self.words[w] = raw[at * width : end * width]
+                new[w] = raw[at * width : end * width]
                 at = end + 1
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        get = self.words.get
-        found = [list(map(get, words)) for words in split]
-        unknown = [[i for i, ids in enumerate(known) if ids is None] for known in found]
-        missing = {words[i] for words, at in zip(split, unknown, strict=True) for i in at}
-        if missing:
-            if len(self.words) + len(missing) > MAX_WORDS:
-                self.words = {"": b""}
-            known = self.words
-            bare = {self._bare(w) for w in missing} | set(MARKS)
-            self._learn([w for w in {self._plain(w) for w in bare} if w not in known])
-            known.update((w, known[self._plain(w)]) for w in bare if w not in known)
-            known.update((w, known[w[:-1]] + known[w[-1]]) for w in missing if w not in known)
-            for words, ids, at in zip(split, found, unknown, strict=True):
-                for i in at:
-                    ids[i] = known[words[i]]
-        return [b"".join(ids) for ids in found]
+        return new
+
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        """The ids of each of a list of different words."""
+        newer, older = self.words, self.older
+        found = list(map(newer.get, words))
+        unknown = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                ids = older.get(word)
+                if ids is None:
+                    unknown.append(i)
+                else:
+                    found[i] = newer[word] = ids
+        new = self._encoded([words[i] for i in unknown])
+        newer.update(new)
+        for i in unknown:
+            found[i] = new[words[i]]
+        if len(newer) > MAX_WORDS:
+            self.words, self.older = {"": b""}, newer
+        return found
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null) one after the other, and how many each has."""
+        split = pc.split_pattern(pc.replace_substring(self._simplified(texts), "\n", " "), " ")
+        numbered = split.flatten().dictionary_encode()
+        found = self._looked_up(numbered.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
+        word = numbered.indices.to_numpy()
+        n = sizes[word]
+        # Where each word's ids begin in `flat`, less where they begin in the result, for every id.
+        shift = np.repeat((np.cumsum(sizes) - sizes)[word] - (np.cumsum(n) - n), n)
+        ids = flat[shift + np.arange(len(shift))]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        return ids, np.diff(ends[cuts])
+
+    def long(self, text: str) -> np.ndarray:
+        """The ids of one long text, a stretch of words at a time."""
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + GROUP_BYTES // 4)
+            end = len(text) if end < 0 else end
+            out.append(self(pa.array([text[at:end]], pa.string()))[0])
+            at = end
+        return np.concatenate(out)
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -126,6 +165,21 @@ def _uri(spark: SparkSession, folder: str) -> str:
     return re.sub("^file:/+", "file:///", full)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches put together or cut so that each holds about GROUP_BYTES of text, or one longer text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in slices(batches, GROUP_BYTES):
+        own = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+        if held and size + own > GROUP_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_tokens(
     docs: DataFrame,
     tokenizer: str,
@@ -147,25 +201,31 @@ def write_tokens(
     names = [f"__order{i}" for i in range(len(keys))]
     rows = docs.select("doc_id", "text", *(k.alias(n) for k, n in zip(keys, names, strict=True)))
     rows = rows.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
-    end = np.array([end_id], dtype).tobytes()
+    if end_id > np.iinfo(dtype).max:
+        raise ValueError(f"{end_id} does not fit into {dtype}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), _encoder(tokenizer, dtype)
-        width = np.dtype(dtype).itemsize
         fs, base = pafs.FileSystem.from_uri(folder)
         name, own = f"{base}/part-{part:06d}", uuid.uuid4().hex
         offsets, ids, out = [np.zeros(1, "<i8")], [], None
         total = 0
-        for batch, texts in pieces(batches):
+        for group in _groups(batches):
             if out is None:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(f"{name}.{own}.bin")
-            encoded = [x + end for x in encode([t or "" for t in texts])]
-            ends = np.cumsum([len(x) // width for x in encoded], dtype="<i8") + total
-            total = int(ends[-1]) if len(ends) else total
-            out.write(b"".join(encoded))
+            texts = pc.fill_null(group.column("text"), "")
+            if group.num_rows == 1 and texts.nbytes > 2 * GROUP_BYTES:
+                found = encode.long(texts[0].as_py())
+                counts = np.array([len(found)])
+            else:
+                found, counts = encode(texts)
+            places = np.cumsum(counts)
+            out.write(np.insert(found, places, end_id).astype(dtype, copy=False).tobytes())
+            ends = (np.cumsum(counts + 1) + total).astype("<i8")
+            total = int(ends[-1])
             offsets.append(ends)
-            ids.append(batch.column("doc_id"))
+            ids.append(group.column("doc_id"))
         if out is None:
             return
         out.close()

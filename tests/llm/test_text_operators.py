@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from compare import connect, differences
@@ -63,7 +64,35 @@ def test_word_table_restarts_without_changing_ids(monkeypatch):
     rng = random.Random(1)
     for _ in range(20):
         text = " ".join(rng.choice(["Wort,", "mañana.", "été", "the", "X9-y", "don't"]) + str(rng.randint(0, 99)) * rng.randint(0, 1) for _ in range(30))
-        assert np.frombuffer(encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+PIECES = (
+    ["a", "Word", "GAZİ", "BELEDİYESİ", "İ", "ſ", "é", "É", "J", "\u030c", "\u0307", "ÀÉ", "ß", "ẞ", "ŉ", "Σ", "ΑΣ", "I", "\u212a", "日本"]
+    + ["'s", "'RE", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", ",", ".", "!", "?!", ";", ":", "12", "\t", "\u00a0", "\0", "\r"]
+)
+
+
+def test_ids_of_random_texts_equal_the_librarys():
+    """Marks, letters whose lower case has a combining sign, combining signs, special strings."""
+    encode, rng = token_output.WordEncoder(tokenizer_path(), "<u2"), random.Random(2)
+    texts = ["".join(rng.choice(PIECES) + rng.choice(["", "", "", " ", "\n"]) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    ids, counts = encode(pa.array(texts))
+    want = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
+    at = 0
+    for text, w, n in zip(texts, want, counts.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == w.ids, text
+        at += n
+    assert at == len(ids)
+
+
+def test_long_texts_are_encoded_in_stretches(texts_session, monkeypatch):
+    monkeypatch.setattr(token_output, "GROUP_BYTES", 64)
+    encode = token_output.WordEncoder(tokenizer_path(), "<u2")
+    text = "A long text, with İ and é.\n" * 30 + "x" * 200 + " end"
+    assert encode.long(text).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+    batch = pa.record_batch({"text": pa.array(["short", text, None, "", "b c", text])})
+    assert [t for g in token_output._groups(iter([batch])) for t in g.column("text").to_pylist()] == batch.column("text").to_pylist()
 
 
 def test_no_documents_give_no_tokens(texts_session):
