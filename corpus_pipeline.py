@@ -25,12 +25,15 @@ BROADCAST_ROWS = 2_000_000  # ids and hashes, 16 bytes each
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the rows with a language; learned from the labelled rows that are not held out.
 
-    Null and empty texts and texts without letters go.
+    Null and empty texts and texts without letters go. Only ids and hashes of the rows that go are written; the texts
+    themselves stay in the JVM.
     """
     session_for_texts(spark)
     model = language.train(docs.filter(~language.held_out()))
-    found = language.predict(docs, model, tuple(docs.columns), ("__language", "__share"))
-    return found.filter((F.col("__language") != language.UNDETERMINED) & (F.col("__share") >= LEAST_SHARE)).select(*docs.columns)
+    keyed = docs.select("doc_id", "text", text_hash().alias("text_key"))
+    found = language.predict(keyed, model, ("doc_id", "text_key"))
+    gone = (F.col("lang_pred") == language.UNDETERMINED) | (F.col("score") < LEAST_SHARE)
+    return without(docs, staged(found.filter(gone).select("doc_id", "text_key").distinct(), "gone"))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
