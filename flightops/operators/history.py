@@ -16,8 +16,15 @@ from flightops.functions.times import (
     iso_duration,
     timestamp_lit,
 )
-from flightops.operators.lifecycle import flight_details
+from flightops.operators.lifecycle import (
+    flight_details,
+    fold_of_states,
+    states_of_slots,
+    transitions_of_fold,
+    with_slot,
+)
 from flightops.operators.ordered import with_row_number, with_running_last
+from flightops.operators.skew import behind_own_exchange
 from flightops.schemas import (
     CANCEL,
     CANCELLED_MESSAGE,
@@ -36,6 +43,7 @@ from flightops.schemas import (
     TERMINAL_STATES,
     TIMER_TYPES,
 )
+from flightops.session import written
 
 
 def transitions_for_flight(
@@ -127,7 +135,7 @@ def build_history(transitions: DataFrame, accepted: DataFrame, execution: DataFr
                 none.alias("signal_name"),
             )
         )
-    return with_row_number(rows, ["flight_key"], ["event_ts", "rank", "seq"], "event_id").select(
+    return with_row_number(rows, ["flight_key"], ["event_ts", "rank", "seq"], "event_id", once=True).select(
         "flight_key", "event_ts", "event_type", "signal_name", "event_id"
     )
 
@@ -151,16 +159,6 @@ def state_changes(transitions: DataFrame, accepted: DataFrame, flights: DataFram
     request reports the current state twice, a cancellation request reports CANCELLED before the
     flight itself gets there. `origin` tells the two kinds apart.
     """
-    of_flight = transitions.select(
-        "flight_key",
-        "flight_number",
-        F.col("from_state").alias("previous_state"),
-        F.col("to_state").alias("new_state"),
-        "timestamp",
-        "gate",
-        "delay",
-        F.lit("lifecycle").alias("origin"),
-    )
     known = with_running_last(
         accepted, ["flight_key"], ["event_ts", "event_seq"], {"last_gate": "gate", "last_delay": "delay_minutes"}
     )
@@ -171,22 +169,56 @@ def state_changes(transitions: DataFrame, accepted: DataFrame, flights: DataFram
         passed = passed + (offset > elapsed * 1_000_000).cast("int")
     current = F.get(F.array(*[F.lit(s) for s in STATES[:PHASES]]), passed)
     facts = flights.select("flight_key", "flight_number", F.col("gate").alias("own_gate"), "start_ts", "phase_seconds")
-    of_request = (
-        requested(known)
-        .join(facts, "flight_key")
-        .withColumn("current", current)
-        .select(
-            "flight_key",
-            "flight_number",
-            F.col("current").alias("previous_state"),
-            F.when(F.col("signal") == CANCEL, "CANCELLED").otherwise(F.col("current")).alias("new_state"),
-            F.col("event_ts").alias("timestamp"),
-            F.coalesce("last_gate", "own_gate").alias("gate"),
-            F.coalesce("last_delay", F.lit(DEFAULT_DELAY)).alias("delay"),
-            F.lit("operator").alias("origin"),
-        )
+    requests = requested(known).join(facts, "flight_key").withColumn("current", current)
+    return _changes_of_flights(transitions).unionByName(_changes_of_requests(requests))
+
+
+def _changes_of_flights(transitions: DataFrame) -> DataFrame:
+    return transitions.select(
+        "flight_key",
+        "flight_number",
+        F.col("from_state").alias("previous_state"),
+        F.col("to_state").alias("new_state"),
+        "timestamp",
+        "gate",
+        "delay",
+        F.lit("lifecycle").alias("origin"),
+    )
+
+
+def _changes_of_requests(requests: DataFrame) -> DataFrame:
+    """Requests with the state (`current`) and values (`last_gate`, `last_delay`) in force at their moment."""
+    return requests.select(
+        "flight_key",
+        "flight_number",
+        F.col("current").alias("previous_state"),
+        F.when(F.col("signal") == CANCEL, "CANCELLED").otherwise(F.col("current")).alias("new_state"),
+        F.col("event_ts").alias("timestamp"),
+        F.coalesce("last_gate", "own_gate").alias("gate"),
+        F.coalesce("last_delay", F.lit(DEFAULT_DELAY)).alias("delay"),
+        F.lit("operator").alias("origin"),
     )
-    return of_flight.unionByName(of_request)
+
+
+def state_changes_of_signals(flights: DataFrame, signals: DataFrame) -> DataFrame:
+    """The same messages from signals that no one has judged yet, with one join of signals and flights.
+
+    That join gives every signal its slot, and the slot gives the state in force; reduced per slot, the same rows are the fold, which
+    gives the lifecycle's own messages and the slot each flight ends in. A signal is accepted up to that slot. All
+    signals before an accepted one are accepted too, so the values in force need no verdict. The joined rows are written once.
+    """
+    facts = flights.select("flight_key", "flight_number", F.col("gate").alias("own_gate"), "start_ts", "phase_seconds")
+    slotted = with_slot(signals.join(facts, "flight_key")).drop("start_ts", "phase_seconds", "reason")
+    slotted = written(slotted, "slotted")
+    states = written(states_of_slots(slotted), "states")
+    folded = fold_of_states(flights.join(states, "flight_key", "left"), flights.columns)
+
+    order = ["event_ts", "event_seq"]
+    known = with_running_last(slotted, ["flight_key"], order, {"last_gate": "gate", "last_delay": "delay_minutes"})
+    ends = states.select("flight_key", F.coalesce("cancel_slot", F.lit(PHASES)).alias("end_slot"))
+    accepted = requested(known).join(behind_own_exchange(ends, "flight_key"), "flight_key").filter("slot <= end_slot")
+    current = F.get(F.array(*[F.lit(s) for s in STATES[:PHASES]]), F.greatest(F.col("slot") - 1, F.lit(0)))
+    return _changes_of_flights(transitions_of_fold(folded)).unionByName(_changes_of_requests(accepted.withColumn("current", current)))
 
 
 def live_state_events(flights: DataFrame, accepted: DataFrame) -> DataFrame:

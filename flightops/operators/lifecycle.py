@@ -271,6 +271,7 @@ def transition_order_violations(rows: DataFrame, order: list[str] | None = None)
             order,
             {"previous_ordinal": "ordinal", "previous_to_state": "to_state"},
             include_current=False,
+            once=True,
         )
         .filter((F.col("ordinal") <= F.col("previous_ordinal")) & (F.col("to_state") != "CANCELLED"))
         .drop("ordinal", "previous_ordinal")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightops.functions.times import epoch_micros
+from flightops.session import written
 
 # Short, so that a burst is spread too; a key of one day has at most 864,000 buckets however many its rows.
 BUCKET_SECONDS = 0.1
@@ -23,6 +24,11 @@ def _bucket(ts: str, seconds: float) -> Column:
     return F.floor(epoch_micros(F.col(ts)) / F.lit(int(seconds * 1_000_000))).cast("bigint")
 
 
+def _bucketed(rows: DataFrame, ts: str, seconds: float, once: bool) -> DataFrame:
+    bucketed = rows.withColumn("_bucket", _bucket(ts, seconds))
+    return written(bucketed, "bucketed") if once else bucketed
+
+
 def with_running_last(
     rows: DataFrame,
     keys: Sequence[str],
@@ -30,12 +36,15 @@ def with_running_last(
     values: Mapping[str, str],
     include_current: bool = True,
     bucket_seconds: float = BUCKET_SECONDS,
+    once: bool = False,
 ) -> DataFrame:
     """Add, for each `values` entry (new name -> column), its last non-null value so far.
 
-    `order` starts with a timestamp column and must be unique within a key.
+    `order` starts with a timestamp column and must be unique within a key. The rows are needed twice, for themselves and
+    for the row of their bucket. With `once` they are written to the shared folder first: the choice
+    for rows that took joins to make, where evaluating them again costs more than writing them.
     """
-    bucketed = rows.withColumn("_bucket", _bucket(order[0], bucket_seconds))
+    bucketed = _bucketed(rows, order[0], bucket_seconds, once)
     last_row = 0 if include_current else -1
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,9 +73,10 @@ def with_row_number(
     order: Sequence[str],
     name: str,
     bucket_seconds: float = BUCKET_SECONDS,
+    once: bool = False,
 ) -> DataFrame:
-    """Add the 1-based position of each row within its key. `order` as above."""
-    bucketed = rows.withColumn("_bucket", _bucket(order[0], bucket_seconds))
+    """Add the 1-based position of each row within its key. `order` and `once` as above."""
+    bucketed = _bucketed(rows, order[0], bucket_seconds, once)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -92,13 +92,16 @@ class Tables:
 
     @cached_property
     def state_changes(self) -> DataFrame:
-        return history.state_changes(self.transitions, self.accepted_by_channel, self.flights)
+        return history.state_changes_of_signals(self.flights, self.by_channel(self.signals))
+
+    @staticmethod
+    def by_channel(sent: DataFrame) -> DataFrame:
+        """Every other event came as a request, the rest from the topic."""
+        return sent.withColumn("channel", F.when(F.col("event_seq") % 2 == 0, REQUEST_CHANNEL).otherwise("topic"))
 
     @cached_property
     def accepted_by_channel(self) -> DataFrame:
-        """Every other event came as a request, the rest from the topic."""
-        channel = F.when(F.col("event_seq") % 2 == 0, REQUEST_CHANNEL).otherwise("topic")
-        return self.accepted.withColumn("channel", channel)
+        return self.by_channel(self.accepted)
 
     @cached_property
     def wanted(self) -> DataFrame:

@@ -150,3 +150,19 @@ def test_signals_are_shuffled_once_for_the_fold(shuffled, hot):
     plan = _plan(lifecycle.transitions_with_context(flights, signals))
     exchanges = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
     assert exchanges == ["flight_key"] * 3
+
+
+def _scans(frame) -> int:
+    return len(re.findall(r"FileScan parquet .*?events\.parquet", frame._jdf.queryExecution().toString().split("== Physical Plan ==")[1]))
+
+
+def test_state_changes_take_one_join_and_few_scans(shuffled, sf_dir):
+    """What is joined is written once, so the plans that follow read the events for the flights' own rows only."""
+    for name in ("state_changes", "write_state_changes", "transition_order_violations"):
+        assert _scans(QUERIES[name](shuffled, sf_dir)) <= 1, name
+    assert _scans(QUERIES["journey_transitions"](shuffled, sf_dir)) <= 6
+
+
+def test_messages_of_signals_equal_those_of_judged_ones(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    assert _rows(t.state_changes) == _rows(state_changes(t.transitions, t.accepted_by_channel, t.flights))
