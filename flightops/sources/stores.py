@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +32,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _write_ranges(rows: DataFrame, path: str, batch: str, mode: str) -> None:
+    """Tasks take ranges of (date, flight number), so a busy date is written by many of them, a task writes few
+    dates, and files carry narrow min/max ranges."""
+    (
+        rows.withColumn("batch_id", F.lit(batch))
+        .repartitionByRange("flight_date", "flight_number")
+        .sortWithinPartitions("flight_date", "flight_number", "timestamp")
+        .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("flight_date", "batch_id")
+        .parquet(path)
+    )
+
+
+def write_transition_batch(transitions: DataFrame, path: str, batch_id: int | str) -> None:
+    """Write the rows of one batch, each id once, into folders of its own below their dates.
+
+    A batch that is replayed overwrites just those folders, so nothing that is stored has to be read. Batches are
+    expected to hold different rows, as those of a stream do; for rows that may be stored already see `write_transitions`.
+    """
+    _write_ranges(transitions.dropDuplicates(["id"]), path, f"b{batch_id}", "overwrite")
+
+
 def write_transitions(transitions: DataFrame, path: str) -> None:
     """Append the rows whose id is not stored yet, partitioned by date.
 
-    Tasks take ranges of (date, flight number), so a busy date is written by many of them, a
-    task writes few dates, and files carry narrow min/max ranges. Of the store only the ids of
-    the folders between the first and last date of the new rows are read.
+    Of the store only the ids of the folders between the first and last date of the new rows are read.
     """
     # Kept for the passes below: finding its dates, sampling the ranges, writing.
     new = transitions.dropDuplicates(["id"]).persist(StorageLevel.MEMORY_AND_DISK)
@@ -45,13 +68,7 @@ def write_transitions(transitions: DataFrame, path: str) -> None:
             first, last = new.agg(F.min("flight_date"), F.max("flight_date")).first()
             stored = read_transitions(new.sparkSession, path).filter(F.col("flight_date").between(first, last))
             unseen = new.join(stored.select("id"), "id", "left_anti")
-        (
-            unseen.repartitionByRange("flight_date", "flight_number")
-            .sortWithinPartitions("flight_date", "flight_number", "timestamp")
-            .write.mode("append")
-            .partitionBy("flight_date")
-            .parquet(path)
-        )
+        _write_ranges(unseen, path, f"a{uuid.uuid4().hex}", "append")
     finally:
         new.unpersist()
 

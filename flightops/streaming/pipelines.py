@@ -13,7 +13,7 @@ from flightops.functions.keys import state_ordinal
 from flightops.functions.times import epoch_micros, iso_local
 from flightops.operators.enrich import enriched_events
 from flightops.sources.events import parse_flight_events
-from flightops.sources.stores import state_change_messages, write_transitions
+from flightops.sources.stores import state_change_messages, write_transition_batch
 
 
 def stream_enrich(raw: DataFrame, **options) -> DataFrame:
@@ -75,10 +75,10 @@ def write_state_change_stream(transitions: DataFrame, checkpoint: str, available
 def write_history_stream(
     transitions: DataFrame, path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """History rows appended to the store. A batch that is replayed adds nothing twice."""
+    """History rows written to the store. A micro-batch that is replayed overwrites what it wrote before."""
 
-    def append(batch: DataFrame, _: int) -> None:
-        write_transitions(batch, path)
+    def append(batch: DataFrame, batch_id: int) -> None:
+        write_transition_batch(batch, path, batch_id)
 
     return _started(transitions.writeStream.foreachBatch(append), checkpoint, available_now)
 

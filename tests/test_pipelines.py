@@ -88,6 +88,19 @@ def test_store_ignores_replayed_rows(spark, tmp_path):
     assert "EqualTo(flight_number,AA1)" in plan
 
 
+def test_a_replayed_batch_overwrites_its_own_rows_only(spark, tmp_path):
+    flights = r.flights(spark, r.flight("AA1"), r.flight("AA2"))
+    moves = lifecycle.transitions_with_context(flights, r.signals(spark, r.cancel("AA2", 2)))
+    path = f"{tmp_path}/batches"
+    stores.write_transition_batch(moves.filter("flight_number = 'AA1'"), path, 0)
+    for _ in range(2):
+        stores.write_transition_batch(moves.filter("flight_number = 'AA2'").unionByName(moves.filter("flight_number = 'AA2'")), path, 1)
+    assert _rows(stores.read_transitions(spark, path)) == _rows(moves)
+    # Appends and batches share one layout.
+    stores.write_transitions(moves, path)
+    assert _rows(stores.read_transitions(spark, path)) == _rows(moves)
+
+
 def test_history_stream_live_rows_and_messages(spark, tables, tmp_path):
     moves = tables.transitions
     moves.repartition(2).write.parquet(f"{tmp_path}/moves")
