@@ -1,14 +1,15 @@
 """Exact top-k inner products by an impact-ordered index, read score at a time.
 
 The index cuts the vectors into blocks. In a block, the postings (row, value) of each dimension are
-kept in segments by quantised impact: the sign and the number of binary digits of the value. A query
-reads a block's segments in the order of the most that a posting can add to a score, the size of its
-own component times the segment's largest value, and adds the contributions up. Segments whose sign
-differs from the query's only lower a score, so leaving them out keeps the sums upper bounds.
-
-A row's score is at most its sum plus what the unread segments of each dimension can still add. Reading
-stops once these bounds prove that all but a few rows are below the k-th best exact score found so
-far, or when no segment is left; the rows that may still belong to the result are scored exactly.
+kept in segments by quantised impact: the sign and the number of binary digits of the value. Segments are
+read by descending impact, those of one size of all dimensions together, and for a group of queries at
+once: their contributions are added to one sum per query and row by a product of matrices.
+
+Every query brings a floor, the k-th best exact score among the rows of a bounded sample, so its k best
+rows score at least that. A row's score is at most its sum plus what the unread segments of each dimension
+can still add. Reading stops once these bounds prove that all but a few rows are below the floor, or when
+no segment is left; a block whose bound lies below a query's floor is not read for it. The rows that may
+still belong to the result are scored exactly.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 
 from flightops.llm.common import staged
 
-BLOCK_ROWS = 8192
-QUERY_ROWS = 2048  # queries that meet a block in one task
-CHECK_EVERY = 48  # segments read between two looks at the bounds
-ENOUGH = 256  # rows left that are cheaper to score than to read on
+BLOCK_ROWS = 4096
+QUERY_ROWS = 8192  # queries that meet a block in one task
+TOGETHER = 256  # queries that read a block's segments at once
+ENOUGH = 32  # rows a query that are cheaper to score than to read on
+SAMPLE_ROWS = 2048  # rows that give the floors; any number is right, more prune more
+NO_FLOOR = -(1 << 62)
 
 IDS, SEGMENT = -1, "block long, dim int, level int, rows binary, vals binary"
 
@@ -93,62 +96,99 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return vectors.select("vec_id", "v").repartition(blocks).mapInPandas(index, SEGMENT)
 
 
+def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
+    """Vectors as rows, filled up with zeros or cut at `width`."""
+    out = np.zeros((len(vectors), width), np.int64)
+    for row, v in zip(out, vectors, strict=True):
+        row[: min(len(v), width)] = v[:width]
+    return out
+
+
+def _fitting(queries: np.ndarray, most: int) -> type:
+    """The type in which sums of products with values up to `most` are whole: a float where it is exact."""
+    size = float(np.abs(queries).astype(float).sum(axis=1).max(initial=0.0)) * most
+    return np.float32 if size < 1 << 23 else np.float64 if size < 1 << 52 else np.int64  # differences of two are whole too
+
+
 class Block:
-    """A block's segments, and its rows for exact scores."""
+    """A block's segments by descending impact, and its rows for exact scores."""
 
     def __init__(self, frame: pd.DataFrame) -> None:
         head = frame[frame["dim"] == IDS].iloc[0]
         self.ids = np.frombuffer(head["vals"], "<i8")
-        width = int(head["level"])
+        self.width = int(head["level"])
         rest = frame[frame["dim"] != IDS]
-        self.dim, self.level = rest["dim"].to_numpy(), rest["level"].to_numpy()
-        self.rows = [np.frombuffer(x, "<i4") for x in rest["rows"]]
-        self.vals = [np.frombuffer(x, "<i8") for x in rest["vals"]]
-        self.matrix = np.zeros((len(self.ids), width), np.int64)
-        self.most = np.array([np.abs(v).max() for v in self.vals], np.int64)  # a segment's largest value
-        for d, r, v in zip(self.dim, self.rows, self.vals, strict=True):
-            self.matrix[r, d] = v
-        # For each segment, the largest value of its dimension and sign in the lower segments.
-        self.below = np.zeros(len(self.most), np.int64)
-        last: dict[tuple[int, bool], int] = {}
-        for i in np.argsort(np.abs(self.level), kind="stable"):
-            key = (int(self.dim[i]), bool(self.level[i] > 0))
-            self.below[i] = last.get(key, 0)
-            last[key] = int(self.most[i])
-
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows other than `own`, ties to the smaller id."""
-        q = np.zeros(self.matrix.shape[1], np.int64)
-        q[: min(len(q), len(query))] = query[: len(q)]
-        weight = np.abs(q[self.dim])
-        adds = np.flatnonzero((weight > 0) & ((q[self.dim] > 0) == (self.level > 0)))
-        order = adds[np.argsort(-weight[adds] * self.most[adds], kind="stable")]
-        # What each dimension can add: its best segment at first, less with each segment read.
-        left = 0
-        first: set[int] = set()
-        for i in order:
-            if int(self.dim[i]) not in first:
-                first.add(int(self.dim[i]))
-                left += int(weight[i] * self.most[i])
-        sums = np.zeros(len(self.ids), np.int64)
-        other = self.ids != own
-        rows = np.flatnonzero(other)
-        exact: np.ndarray | None = None
-        for at in range(0, len(order) + CHECK_EVERY, CHECK_EVERY):
-            for i in order[at : at + CHECK_EVERY]:
-                sums[self.rows[i]] += q[self.dim[i]] * self.vals[i]
-                left -= int(weight[i] * (self.most[i] - self.below[i]))
-            if len(rows) > k:
-                best = rows[np.argpartition(sums[rows], len(rows) - k)[-k:]]
-                scores = self.matrix[best] @ q
-                if exact is None or scores.min() > exact:
-                    exact = scores.min()
-                rows = rows[sums[rows] + left >= exact]
-            if len(rows) <= max(k, ENOUGH):
+        self.matrix = np.zeros((len(self.ids), self.width), np.int64)
+        self.layers = []  # (rows, dims, values) of all segments of one size
+        size = np.abs(rest["level"].to_numpy())
+        for level in np.unique(size)[::-1]:
+            some = rest[size == level]
+            rows = [np.frombuffer(x, "<i4") for x in some["rows"]]
+            dims = np.repeat(some["dim"].to_numpy(np.int64), [len(r) for r in rows])
+            rows, vals = np.concatenate(rows), np.frombuffer(b"".join(some["vals"]), "<i8")
+            self.matrix[rows, dims] = vals
+            self.layers.append((rows, dims, vals))
+        # Largest and smallest value of each dimension in the segments from each layer on; 0 if there is none.
+        self.high = np.zeros((len(self.layers) + 1, self.width), np.int64)
+        self.low = np.zeros_like(self.high)
+        for i in range(len(self.layers) - 1, -1, -1):
+            _, dims, vals = self.layers[i]
+            self.high[i], self.low[i] = self.high[i + 1], self.low[i + 1]
+            np.maximum.at(self.high[i], dims, vals)
+            np.minimum.at(self.low[i], dims, vals)
+        self.most = int(np.abs(self.matrix).max(initial=0))
+
+    def _left(self, queries: np.ndarray, layer: int) -> np.ndarray:
+        """The most that segments from `layer` on can add to a score of each query."""
+        return np.maximum(queries, 0) @ self.high[layer] + np.minimum(queries, 0) @ self.low[layer]
+
+    def top(self, owns: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(own, ids, scores) of each query: its k best rows other than `own` that reach its floor."""
+        meets = np.flatnonzero(self._left(queries, 0) >= floors)
+        owns, queries, floors = owns[meets], queries[meets], floors[meets]
+        kind = _fitting(queries, self.most)
+        asked, sums = queries.astype(kind), np.zeros((len(queries), len(self.ids)), kind)
+        may = np.ones(sums.shape, bool)
+        for i, (rows, dims, vals) in enumerate(self.layers):
+            layer = np.zeros((self.width, len(self.ids)), kind)
+            layer[dims, rows] = vals
+            sums += asked @ layer
+            may = sums >= (floors - self._left(queries, i + 1)).astype(kind)[:, None]
+            if np.count_nonzero(may) <= ENOUGH * len(may):
                 break
-        scores = self.matrix[rows] @ q
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows][best], scores[best]
+        for own, query, rows in zip(owns.tolist(), queries, may, strict=True):
+            rows = np.flatnonzero(rows)
+            rows = rows[self.ids[rows] != own]
+            scores = self.matrix[rows] @ query
+            best = np.lexsort((self.ids[rows], -scores))[:k]
+            yield own, self.ids[rows][best], scores[best]
+
+
+def with_floors(queries: DataFrame, vectors: DataFrame, k: int, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """queries (vec_id, v) and floor: the k-th best score among `sample_rows` of vectors, least hashes first.
+
+    Rows of the query's own id do not count; with fewer than k others the floor is below every score.
+    """
+    first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()  # a bounded sample
+    ids = np.array([r.vec_id for r in first], np.int64)
+    rows = [np.asarray(r.v, np.int64) for r in first]
+
+    def floors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = _matrix(rows, max(map(len, rows), default=0))
+        most = int(np.abs(sample).max(initial=0))
+        for frame in frames:
+            floor = np.full(len(frame), NO_FLOOR, np.int64)
+            for at in range(0, len(frame), TOGETHER):
+                part = frame.iloc[at : at + TOGETHER]
+                asked = _matrix(list(part["v"]), sample.shape[1])
+                kind = _fitting(asked, most)
+                scores = (asked.astype(kind) @ sample.astype(kind).T).astype(np.int64)
+                scores[part["vec_id"].to_numpy()[:, None] == ids] = NO_FLOOR
+                if len(ids) >= k:
+                    floor[at : at + TOGETHER] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+            yield frame.assign(floor=floor)
+
+    return queries.select("vec_id", "v").mapInPandas(floors, "vec_id long, v array<long>, floor long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -156,14 +196,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
 
     query_id, rank, vec_id, score. Rows with the query's own id are not candidates; rows that repeat an
     id and vector count once; ties go to the smaller id. Fewer than k candidates are all returned. Rows
-    with a null id or vector take no part; an empty table gives no rows. Other columns are not read.
+    with a null id or vector take no part; an empty table gives no rows. Vectors may differ in length, what
+    is missing counts as zero. Other columns are not read.
     """
     there = "vec_id is not null and v is not null"
     vectors = staged(vectors.select("vec_id", "v").filter(there).distinct(), "vectors")
     queries = queries.select("vec_id", "v").filter(there).distinct()
     index = staged(build_index(vectors, block_rows), "index")
     groups = max(1, -(-queries.count() // query_rows))
-    queries = queries.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
+    queries = with_floors(queries, vectors, k).withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
     blocks = index.filter(f"dim = {IDS}").select(F.col("block").alias("of"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
     pairs = blocks.select("of", every.alias("grp"))
@@ -172,10 +213,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOC
 
     def search(asked: pd.DataFrame, segments: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(asked):
-            block = Block(segments)
-            for own, v in zip(asked["vec_id"].tolist(), asked["v"], strict=True):
-                ids, scores = block.top(own, np.asarray(v, np.int64), k)
+        block = Block(segments) if len(asked) else None
+        for at in range(0, len(asked), TOGETHER):
+            part = asked.iloc[at : at + TOGETHER]
+            rows = _matrix(list(part["v"]), block.width)
+            for own, ids, scores in block.top(part["vec_id"].to_numpy(), rows, part["floor"].to_numpy(), k):
                 out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
