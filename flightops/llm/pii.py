@@ -3,13 +3,17 @@
 The tagger learns from labelled spans in windows of text: a bounded sample of the windows in which the
 patterns find something or nothing, without those where a match failed its check (a number that is no
 valid card may be a mistyped one). It reads overlapping windows over the whole text. A span must hold
-a digit or an `@`, so windows without either are passed over; no span is lost by that. The spans of all
-windows are reconciled per text: of those that overlap, the set with the largest total lead stays.
+a digit or an `@`, so windows without either are passed over, unless a span of the next window is cut
+there; no span is lost by that. The spans of all windows are reconciled per text: parts of one span that
+overlapping windows cut are joined, however long it is, and of the spans that overlap, the set with the
+largest total lead stays.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -92,8 +96,7 @@ def reconciled(spans: list[tuple[int, int, int, float]]) -> list[Span]:
     spans = sorted(set(spans), key=lambda s: (s[2], s[0], s[1], s[3]))
     ends, best = [s[2] for s in spans], [(0.0, -1, -1)]
     for i, (start, _, _, lead) in enumerate(spans):
-        before = int(np.searchsorted(ends, start, side="right", sorter=None)) if i else 0
-        before = min(before, i)
+        before = min(bisect_right(ends, start), i)
         take = best[before][0] + lead
         best.append((take, i, before) if take > best[-1][0] else (best[-1][0], -1, i))
     out, at = [], len(spans)
@@ -105,37 +108,100 @@ def reconciled(spans: list[tuple[int, int, int, float]]) -> list[Span]:
     return out[::-1]
 
 
+Part = tuple[int, int, int, float, bool, bool]  # start, kind, end, lead, cut at the start, cut at the end
+
+
+def joined(parts: list[Part]) -> list[tuple[int, int, int, float]]:
+    """Spans (start, kind, end, mean lead): the whole parts, and chains of overlapping parts that cut ends link.
+
+    A chain counts if neither of its ends is cut; the mean is that over the characters of all its parts.
+    """
+    out: list[tuple[int, int, int, float]] = []
+    start = kind = end = size = 0
+    lead, first, last = 0.0, True, True
+
+    def close() -> None:
+        if size and not first and not last:
+            out.append((start, kind, end, lead / size))
+
+    for a, k, b, own, left, right in sorted(parts, key=lambda p: (p[1], p[0], p[2])):
+        if not (size and last and left and k == kind and a < end):
+            close()
+            start, kind, end, size, lead, first, last = a, k, b, 0, 0.0, left, right
+        elif b >= end:
+            end, last = b, right
+        size, lead = size + b - a, lead + own
+    close()
+    return out
+
+
+def tagged_parts(model: Tagger, texts: list[str]) -> list[list[Part]]:
+    """What the tagger finds in each window of each text; a window next to a cut part is read as well."""
+    found: list[list[Part]] = [[] for _ in texts]
+    places = [(i, at) for i, text in enumerate(texts) for at in window_starts(text)]
+    known = set(places)
+    while places:
+        near: set[tuple[int, int]] = set()
+        for low in range(0, len(places), BATCH):
+            group = places[low : low + BATCH]
+            x = np.zeros((len(group), WIDTH), np.int64)
+            for row, (i, at) in enumerate(group):
+                code = char_classes(texts[i][at : at + WIDTH])
+                x[row, : len(code)] = code
+            tags, lead = model.decode(x)
+            for row in np.flatnonzero(tags.any(axis=1)).tolist():
+                i, at = group[row]
+                line, n = tags[row], len(texts[i])
+                for first in np.flatnonzero(line % 2 == 1).tolist():
+                    end = first + 1
+                    while end < WIDTH and line[end] == line[first] + 1:
+                        end += 1
+                    left, right = first == 0 and at > 0, end == WIDTH and at + end < n
+                    near.update([(i, at - STEP)] * left + [(i, at + STEP)] * right)
+                    stop = min(at + end, n)
+                    own = float(lead[row, first : stop - at].sum())
+                    if stop > at + first:
+                        found[i].append((at + first, int(line[first] - 1) // 2, stop, own, left, right))
+        places = sorted(near - known)
+        known |= near
+    return found
+
+
 def added_spans(model: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """The tagger's spans of each text that do not touch the text's base spans."""
-    places = [(i, at) for i, text in enumerate(texts) for at in window_starts(text)]
-    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    for low in range(0, len(places), BATCH):
-        part = places[low : low + BATCH]
-        x = np.zeros((len(part), WIDTH), np.int64)
-        for row, (i, at) in enumerate(part):
-            code = char_classes(texts[i][at : at + WIDTH])
-            x[row, : len(code)] = code
-        tags, lead = model.decode(x)
-        for row in np.flatnonzero(tags.any(axis=1)).tolist():
-            i, at = part[row]
-            line, text = tags[row], texts[i]
-            firsts = np.flatnonzero(line % 2 == 1)
-            for first in firsts.tolist():
-                end = first + 1
-                while end < WIDTH and line[end] == line[first] + 1:
-                    end += 1
-                start, stop = at + first, min(at + end, len(text))
-                mean = float(lead[row, first:end].mean())
-                cut = (first == 0 and at > 0) or (end == WIDTH and at + end < len(text))  # whole in a neighbour
-                if not cut and stop - start >= LEAST_CHARS and mean >= LEAST_LEAD and ANCHOR.search(text, start, stop):
-                    found[i].append((start, int(line[first] - 1) // 2, stop, mean * (end - first)))
     out = []
-    for spans, own in zip(found, base, strict=True):
-        free = [s for s in spans if not any(a < s[2] and s[0] < b for a, _, b in own)]
+    for text, parts, own in zip(texts, tagged_parts(model, texts), base, strict=True):
+        starts: list[int] = []  # of the characters that base spans cover, as runs
+        ends: list[int] = []
+        for a, _, b in sorted(own):
+            if ends and a <= ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+        free = []
+        for a, kind, b, mean in joined(parts):
+            run = bisect_right(ends, a)
+            touches = run < len(starts) and starts[run] < b
+            if not touches and b - a >= LEAST_CHARS and mean >= LEAST_LEAD and ANCHOR.search(text, a, b):
+                free.append((a, kind, b, mean * (b - a)))
         out.append(reconciled(free))
     return out
 
 
+class _Spans:
+    """Spans by start, for looking up those that meet a window."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.spans = spans
+        self.starts = [s[0] for s in spans]
+        self.reach = list(accumulate((s[2] for s in spans), max))
+
+    def meeting(self, low: int, high: int) -> list[Span]:
+        some = self.spans[bisect_right(self.reach, low) : bisect_left(self.starts, high)]
+        return [s for s in some if s[2] > low]
+
+
 def labelled_windows(docs: DataFrame) -> DataFrame:
     """(window, tags): windows of docs (text) with a digit or an `@`, labelled by the patterns' spans.
 
@@ -148,10 +214,11 @@ def labelled_windows(docs: DataFrame) -> DataFrame:
             rows = []
             starts = window_starts(text) if text else []
             good, bad = base_spans(text) if starts else ([], [])
+            good, bad = _Spans(good), _Spans(sorted(bad))
             for at in starts:
                 end = at + WIDTH
-                near = [s for s in good if s[0] < end and s[2] > at]
-                short = any(s[1] != 2 or s[2] - s[0] > 9 for s in bad if s[0] < end and s[2] > at)
+                near = good.meeting(at, end)
+                short = any(s[1] != 2 or s[2] - s[0] > 9 for s in bad.meeting(at, end))
                 if short or any(s[0] < at or s[2] > end for s in near):
                     continue
                 tags = np.zeros(WIDTH, np.int32)
@@ -194,7 +261,8 @@ def find(docs: DataFrame, model: Tagger | None) -> DataFrame:
 
     A span has start and end in characters (end exclusive), its kind, and whether a pattern found it;
     spans stand by start, then in the order of KINDS. Spans of different patterns may overlap, those
-    the tagger adds overlap none. A null text is an empty one, without spans; an empty table gives no
+    the tagger adds overlap none. Texts are read whole, in time proportional to their length, and a span may be
+    of any length. A null text is an empty one, without spans; an empty table gives no
     rows. Without a model the patterns' spans are all. Other columns are not read.
     """
 

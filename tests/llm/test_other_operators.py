@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -284,6 +285,49 @@ def test_reconciling_finds_the_best_set():
         assert sum(lead[s] for s in chosen) == best
 
 
+class _Marks:
+    """A tagger that finds the runs of one mark, as far as its window shows them."""
+
+    def decode(self, x):
+        mark = tagger.char_classes("@")[0]
+        on = x == mark
+        before = np.concatenate([np.zeros((len(x), 1), bool), on[:, :-1]], axis=1)
+        return np.where(on, np.where(before, 2, 1), 0), np.where(on, 5.0, 0.0)
+
+
+def test_spans_of_any_length_and_place_are_found_once():
+    for size in (7, 47, 48, 49, 60, 95, 96, 97, 144, 145, 300):
+        for at in (0, 1, 40, 47, 48, 49, 95, 96, 97, 150):
+            for tail in (0, 1, 100):
+                text = "a" * at + "@" * size + "a" * tail
+                assert pii.added_spans(_Marks(), [text], [[]]) == [[(at, 0, at + size)]], (size, at, tail)
+                touched = [(at + size - 1, 1, at + size + 5)]
+                assert pii.added_spans(_Marks(), [text], [touched]) == [[]]
+    assert pii.added_spans(_Marks(), ["", "a1", "@" * 9], [[], [], []]) == [[], [], [(0, 0, 9)]]
+
+
+def test_parts_join_only_where_cut_ends_meet():
+    whole, left, right, both = (False, False), (True, False), (False, True), (True, True)
+    part = lambda a, b, cut, kind=0: (a, kind, b, 2.0 * (b - a), *cut)
+    assert pii.joined([part(3, 9, whole)]) == [(3, 0, 9, 2.0)]
+    assert pii.joined([part(40, 96, right), part(48, 100, left)]) == [(40, 0, 100, 2.0)]
+    assert pii.joined([part(40, 96, right), part(48, 144, both), part(96, 150, left)]) == [(40, 0, 150, 2.0)]
+    assert pii.joined([part(40, 96, right), part(48, 100, left, 1)]) == []
+    assert pii.joined([part(40, 96, right), part(96, 100, left)]) == []  # they do not overlap
+    assert pii.joined([part(40, 48, right), part(40, 70, whole)]) == [(40, 0, 70, 2.0)]
+
+
+def test_dense_long_texts_take_proportional_time():
+    text = "call +49 151 2345678, mail a.b@c.de, pay 4111 1111 1111 1111 or 10.2.3.4; " * 4000
+    base = pii.base_spans(text)[0]
+    began = time.perf_counter()
+    assert len(base) >= 16_000
+    assert len(pii.added_spans(_Marks(), [text], [base])[0]) == 0
+    found = pii._Spans(base)
+    assert all(found.meeting(at, at + 96) for at in range(0, len(text), 48))
+    assert time.perf_counter() - began < 20
+
+
 def test_gradients_and_best_paths():
     rng = np.random.default_rng(3)
     model = tagger.Tagger(hidden=4)
