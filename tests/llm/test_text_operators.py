@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -310,3 +310,53 @@ def test_odd_texts_have_no_passages_and_cutting_keeps_rows(texts_session):
     assert (30, f"first {passage} end") in texts
     assert (5, None) in texts
     assert substring.repeated_passages(documents(texts_session, [])).count() == 0
+
+
+def _plain_chunks(text):
+    """Ends of the chunks in characters, byte by byte."""
+    raw, gear = text.encode(), substring._GEAR.tolist()
+    n, reach = len(raw), substring.RADIUS
+    rolled = [sum(gear[raw[i - j]] << j for j in range(min(i + 1, substring.WINDOW))) % (1 << 32) for i in range(n)]
+    ends = {n}
+    for i in range(n - 1):
+        if all(rolled[i] < rolled[j] for j in range(max(0, i - reach), min(n, i + reach + 1)) if j != i):
+            ends.add(i + 1)
+    while any((raw + b" ")[e] & 0xC0 == 0x80 for e in ends):
+        ends = {e + ((raw + b" ")[e] & 0xC0 == 0x80) for e in ends}
+    return [len(raw[:e].decode()) for e in sorted(ends)]
+
+
+def test_repeated_passages_equal_plain_chunks_in_a_dictionary(texts_session):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvwxyzäéß語") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [some(60) for _ in range(4)]
+    docs = {}
+    for i in range(40):
+        parts = [some(rng.randint(0, 40)), rng.choice(shared) if i % 2 else "", some(rng.randint(0, 9)), rng.choice(shared) if i % 5 == 0 else ""]
+        docs[i * 3 - 20] = "".join(parts)
+    docs[500] = docs[1] + docs[1]
+
+    owner, expected = {}, []
+    for doc, text in sorted(docs.items()):
+        ends = _plain_chunks(text) if text else []
+        pieces = list(zip([0, *ends], ends))
+        again = []
+        for a, b in pieces:
+            again.append(owner.get(text[a:b]))
+            owner.setdefault(text[a:b], doc)
+        at = 0
+        while at < len(pieces):
+            low = at
+            while at < len(pieces) and again[at] is not None:
+                at += 1
+            if at > low:
+                start, end = pieces[low][0], pieces[at - 1][1]
+                n = Counter(again[low:at])
+                if end - start >= substring.LEAST_CHARS:
+                    expected.append((doc, start, end, at - low, min(d for d in n if n[d] == max(n.values()))))
+            at += 1
+    rows = texts_session.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = substring.repeated_passages(rows).select("doc_id", "start", "end", "n_chunks", "first_doc_id").collect()
+    assert len(expected) > 20
+    assert sorted(tuple(r) for r in found) == sorted(expected)
