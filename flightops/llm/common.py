@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from flightops.session import shared_dir, tune
 
-# Rows per Arrow batch of texts; a text may hold a hundred thousand characters.
+# Rows per Arrow or Parquet batch of texts; a text may hold a hundred thousand characters.
 BATCH_ROWS = 256
 
 
@@ -25,6 +25,16 @@ def session_for_texts(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def session_for_scans(spark: SparkSession) -> SparkSession:
+    """The session for texts that also reads Parquet in small batches.
+
+    The reader holds a batch's texts as one array, which it doubles as it fills: with 4,096 rows, tens of megabytes a task.
+    """
+    session_for_texts(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
+    return spark
+
+
 def staged(rows: DataFrame, name: str) -> DataFrame:
     """`rows` written to the shared folder and read again, which cuts the lineage.
 

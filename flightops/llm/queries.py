@@ -22,7 +22,7 @@ from flightops.llm import (
     topk,
     url_filter,
 )
-from flightops.llm.common import session_for_texts, table
+from flightops.llm.common import session_for_scans, session_for_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,7 +68,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of every document stand in a window of which benchmark items."""
-    session_for_texts(spark)
+    session_for_scans(spark)
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flightops.llm import decontaminate, language, near_dedup, substring, token_output
-from flightops.llm.common import session_for_texts, table
+from flightops.llm.common import BATCH_ROWS, session_for_texts, table
 from flightops.llm.oracle import ORACLE
 from flightops.llm.queries import END_ID, QUERIES, tokenizer_path
 
@@ -152,6 +152,14 @@ def test_contamination_without_items_or_documents(texts_session):
     assert decontaminate.contamination(documents(texts_session, []), some).count() == 0
 
 
+def test_contamination_reads_small_batches(texts_session, sf_dir):
+    size = "spark.sql.parquet.columnarReaderBatchSize"
+    texts_session.conf.unset(size)
+    found = QUERIES["op2_decontamination"](texts_session, sf_dir)
+    assert int(texts_session.conf.get(size)) == BATCH_ROWS
+    assert found.count() == table(texts_session, sf_dir, "documents").count()
+
+
 # --- languages ----------------------------------------------------------------------------
 
 
